@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .language import identify, train
+from .mixing import label_quality, mix_sources
 from .ngram_join import ngram_jaccard
+from .quality import quality_rules
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
@@ -27,6 +30,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir), label_quality(_table(spark, sf_dir, "labels")))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), width=10, slop=2)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -45,12 +52,30 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_rules(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _held_out() -> Column:
+    """Documents that nothing may be learned from."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _documents(spark, sf_dir)
+    model = train(docs.where(~_held_out()).select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model"))
+    return identify(docs, model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_documents(spark, sf_dir), width=3, num=90, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_decontaminate, op4_substring_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_decontaminate, op4_substring_dedup, op5_quality_rules, op6_language, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

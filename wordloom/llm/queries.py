@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .language import identify, train
+from .licenses import NOTICE, license_scan
+from .line_dedup import line_dedup
 from .mixing import label_quality, mix_sources
 from .ngram_join import ngram_jaccard
 from .quality import quality_rules
+from .secrets import secret_scan
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
@@ -70,12 +73,34 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(_documents(spark, sf_dir), num=80, den=100)
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def with_paths(docs: DataFrame) -> DataFrame:
+    """The test documents as files: source/lang/thousand/hundred/doc.id; a document that opens with a notice is source/lang/thousand/LICENSE.id."""
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("none"))
+    opens = F.coalesce(F.substring_index("text", "\n", 1).rlike(NOTICE), F.lit(False))
+    folder = F.concat_ws("/", text(F.col("source")), text(F.col("lang")), text(F.expr("doc_id div 1000")))
+    inner = F.concat_ws("/", folder, text(F.expr("doc_id div 100")), F.concat(F.lit("doc."), text(F.col("doc_id"))))
+    return docs.select("doc_id", "text", F.when(opens, F.concat(folder, F.lit("/LICENSE."), text(F.col("doc_id")))).otherwise(inner).alias("path"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(with_paths(_documents(spark, sf_dir)))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_documents(spark, sf_dir))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_documents(spark, sf_dir), width=3, num=90, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_decontaminate, op4_substring_dedup, op5_quality_rules, op6_language, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_decontaminate, op4_substring_dedup, op5_quality_rules, op6_language, op7_line_dedup, op8_license_scan, op9_secret_scan, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

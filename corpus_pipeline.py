@@ -1,11 +1,81 @@
-"""The corpus pipeline: stages over documents, each written and read again by the driver."""
+"""The corpus pipeline: language ID, line deduplication, n-gram Jaccard join, decontamination, mixing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on everything the stage before has kept and returns the columns of its input with its decisions
+applied; the last returns what the mix takes. The driver writes each stage's rows and reads them again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordloom.llm.common import materialise
+from wordloom.llm.decontaminate import decontaminate
+from wordloom.llm.language import identify, train
+from wordloom.llm.line_dedup import line_dedup
+from wordloom.llm.mixing import label_quality, mix_sources
+from wordloom.llm.ngram_join import ngram_jaccard
+
+#: A prediction below this posterior counts as rejected, as does a text without letters.
+LANGUAGE_SCORE = 0.5
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with letters whose language is clear. The declared language is learned from, never an input of the decision."""
+    model = train(docs.select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = identify(docs, model, keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document goes when none of its lines is left. n_chars follows the text."""
+    done = line_dedup(docs, num=80, den=100)
+    left = done.where("n_lines > n_removed or n_lines = 0")
+    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: the smallest doc_id. Five words, similarity 0.8. Documents without words stay."""
+    found = ngram_jaccard(docs, width=5, num=80, den=100)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, slop=0)
+    hit = materialise(found.where("n_hit > 0").select("doc_id").distinct(), "hit")
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents that are taken, with the words taken (repeats counted), their source's size and target."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    kept = tuple(c for c in docs.columns if c != "doc_id")
+    return mix_sources(docs, label_quality(labels), keep=kept).where("taken > 0")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard", near_duplicates),
+    ("decontaminate", decontamination),
+    ("mix_sources", mixing),
+]
+
+#: Stages that learn, hash and join by similarity have no SQL form; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, name)
     return docs

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words memorised by a Python worker at most (hash or count of a word); the memo starts anew beyond it.
-MEMO_LIMIT = 1 << 20
+MEMO_LIMIT = 1 << 19
 #: Ids that may be broadcast: 8 bytes each, so 16 MB of keys at the very most. Beyond it joins shuffle.
 BROADCAST_IDS = 1 << 21
 
@@ -122,14 +122,17 @@ def rolling(hashes: np.ndarray, width: int, base: int = RK_BASE) -> np.ndarray:
     return mix((prefix[width:] - prefix[:-width]) * up[: n - width + 1])
 
 
-def window_hashes(rows: list[list[bytes]], memo: WordHash, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row number of every window of width words that lies within one row, rows in order."""
-    n = np.array([len(x) for x in rows], np.int64)
-    hashes = np.concatenate([memo.of(x) for x in rows]) if rows else np.empty(0, np.uint64)
-    h = rolling(hashes, width)
-    row = np.repeat(np.arange(len(rows)), n)
+def window_hashes(rows: Iterable[list[bytes]], memo: WordHash, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and row number of every window of width words that lies within one row, rows in order; and the words of each row.
+
+    Rows can come from a generator: only their hashes are held.
+    """
+    parts = [memo.of(x) for x in rows]
+    n = np.array([len(x) for x in parts], np.int64)
+    h = rolling(np.concatenate(parts) if parts else np.empty(0, np.uint64), width)
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), n)
     inside = row[: len(h)] == row[width - 1 :] if len(h) else np.empty(0, bool)
-    return h[inside], row[: len(h)][inside]
+    return h[inside], row[: len(h)][inside], n
 
 
 def edge_digest(edges: DataFrame) -> tuple:

@@ -36,15 +36,15 @@ PARITY_WORDS, FRAGMENTS = 16, 4
 
 def shingle_sets(rows: list[bytes], memo: WordHash, width: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    split = [x.translate(UPPER_TO_LOWER).split() for x in rows]
-    h, row = window_hashes(split, memo, width)
+    h, row, n = window_hashes((x.translate(UPPER_TO_LOWER).split() for x in rows), memo, width)
     ends = np.searchsorted(row, np.arange(len(rows) + 1))
     out = []
-    for i, w in enumerate(split):
-        if len(w) >= width:
+    for i, words in enumerate(n.tolist()):
+        if words >= width:
             out.append(np.unique(h[ends[i] : ends[i + 1]]))
-        elif w:
-            out.append(np.array([memo.of([b" ".join(w) + b"\n%d" % len(w)])[0]], np.uint64))
+        elif words:
+            w = rows[i].translate(UPPER_TO_LOWER).split()
+            out.append(np.array([memo.of([b" ".join(w) + b"\n%d" % words])[0]], np.uint64))
         else:
             out.append(np.empty(0, np.uint64))
     return out

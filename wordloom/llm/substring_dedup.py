@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, blocks, rolling, texts, window_hashes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Windows a bucket should get, and text bytes a group of documents should get.
-BUCKET_WINDOWS, GROUP_BYTES = 1 << 21, 16 << 20
+BUCKET_WINDOWS, GROUP_BYTES = 1 << 21, 8 << 20
 PACKED = "bucket long, kind int, payload binary"
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string"
 
@@ -89,7 +89,8 @@ def pack(docs: DataFrame, width: int, buckets: int, groups: int) -> DataFrame:
             order = np.argsort(id_array, kind="stable")
             rows = texts(block.column("text"))
             ids, code = np.unique(id_array[order], return_inverse=True)
-            h, row = window_hashes([rows[i].split() for i in order.tolist()], memo, width)
+            h, row, _ = window_hashes((rows[i].split() for i in order.tolist()), memo, width)
+            del rows, block
             if not len(h):
                 continue
             doc = code[row]

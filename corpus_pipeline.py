@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import materialise
+from wordloom.llm.common import fresh, materialise
 from wordloom.llm.decontaminate import decontaminate
 from wordloom.llm.language import identify, train
 from wordloom.llm.line_dedup import line_dedup
@@ -28,14 +28,16 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with letters whose language is clear. The declared language is learned from, never an input of the decision."""
     model = train(docs.select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model"))
-    found = identify(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = identify(docs, model, keep=tuple(docs.columns), names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document goes when none of its lines is left. n_chars follows the text."""
-    done = line_dedup(docs, num=80, den=100)
-    left = done.where("n_lines > n_removed or n_lines = 0")
+    lines, gone = fresh("n_lines", docs.columns), fresh("n_removed", docs.columns)
+    done = line_dedup(docs, num=80, den=100, names=(lines, gone))
+    left = done.where((F.col(lines) > F.col(gone)) | (F.col(lines) == 0))
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -56,8 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents that are taken, with the words taken (repeats counted), their source's size and target."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = tuple(c for c in docs.columns if c != "doc_id")
-    return mix_sources(docs, label_quality(labels), keep=kept).where("taken > 0")
+    return mix_sources(docs, label_quality(labels), keep=tuple(docs.columns)).where("taken > 0")
 
 
 STAGES: list[tuple[str, Stage]] = [

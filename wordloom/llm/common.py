@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,6 +19,9 @@ MEMO_LIMIT = 1 << 19
 #: Ids that may be broadcast: 8 bytes each, so 16 MB of keys at the very most. Beyond it joins shuffle.
 BROADCAST_IDS = 1 << 21
 
+#: Bytes of an Arrow batch between the JVM and Python, at most (a longer single row still goes as one).
+BATCH_BYTES = 8 << 20
+
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -40,12 +44,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> None:
+    """Let Arrow batches have BATCH_BYTES at most in this session: the default of 64 MB costs each task several such buffers in the executor and
+    in its Python worker, outside the heap. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = int(re.sub(r"\D", "", spark.conf.get(key, "") or "") or 1 << 62)
+    if have <= 0 or have > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def small_join(big: DataFrame, ids: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join with a broadcast only where ids has been counted and is within BROADCAST_IDS, else as Spark plans it."""
     rows = ids.count() if rows is None else rows
     return big.join(F.broadcast(ids) if rows <= BROADCAST_IDS else ids, on, how)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores added until no taken name equals it (names differ by more than case)."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 class WordHash(dict):
     """64-bit hash of a word's bytes, remembered up to MEMO_LIMIT words."""
 

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, blocks, texts
+from .common import MEMO_LIMIT, blocks, lean, texts
 
 #: Documents a language that are learned from, about, and expectation maximisation steps.
 SAMPLE, STEPS = 300, 4
 EVIDENCE = 30
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 PRIME = np.uint64(0x100000001B3)
@@ -207,6 +207,7 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], steps: int = STE
 
 def train(docs: DataFrame, model: str, sample: int = SAMPLE) -> Model | None:
     """docs: doc_id, text, lang of the rows that may be learned from."""
+    lean(docs.sparkSession)
     known = docs.where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not sizes:
@@ -230,18 +231,20 @@ def train(docs: DataFrame, model: str, sample: int = SAMPLE) -> Model | None:
     return learn({k: v for k, v in counts.items() if v}, vocabulary(model))
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The kept columns, lang_pred and score of every row (doc_id alone is kept by default)."""
-    columns = keep or (id_col,)
-    source = docs.select(*[F.col(c).alias(f"keep_{c}") for c in columns], F.col(text_col).cast("string").alias("text"))
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns (doc_id alone by default) and the prediction and its score under the given names, for every row. Kept columns of
+    these names are left out."""
+    lean(docs.sparkSession)
+    columns = [c for c in (keep or (id_col,)) if c not in names]
+    source = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(columns)], F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
             rows = [x.decode() for x in texts(block.column("text"))]
             found = model.predict(rows) if model else [("und", 0.0)] * len(rows)
-            kept = [block.column(f"keep_{c}") for c in columns]
-            yield from pa.table([*kept, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*[f"keep_{c}" for c in columns], "lang_pred", "score"]).to_batches()
+            kept = [block.column(f"keep_{i}") for i in range(len(columns))]
+            yield from pa.table([*kept, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*[f"keep_{i}" for i in range(len(columns))], "lang_pred", "score"]).to_batches()
 
-    kinds = ", ".join(f"`keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    kinds = ", ".join(f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
     out = source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
-    return out.select(*[F.col(f"keep_{c}").alias(c) for c in columns], "lang_pred", "score")
+    return out.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(columns)], F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))

@@ -160,8 +160,8 @@ def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns with the text without the lines that go, n_lines (lines with a word before) and n_removed."""
+def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The input's columns with the text without the lines that go, n_lines (lines with a word before) and n_removed (under these names)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = materialise(line_table(source), "lines")
     classes = lines.groupBy("h").agg(
@@ -192,7 +192,7 @@ def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "do
     fate = grouped.join(keepers, "component").select(F.col("node").alias("h"), "keeper")
     gone = lines.select("doc_id", "line", "h").join(fate, "h").where("not (doc_id = keeper.doc_id and line = keeper.line)")
     per_doc = gone.groupBy("doc_id").agg(F.collect_list("line").alias("__gone"))  # no longer than the document
-    plain = [c for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
+    plain = [c for c in docs.columns if c not in (*names, text_col)]
     joined = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(plain)], F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("__id"))
     joined = joined.join(per_doc.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
 
@@ -211,6 +211,5 @@ def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "do
 
     kinds = ", ".join([*[f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(plain)], "text string, n_lines long, n_removed long"])
     done = joined.mapInArrow(rebuild, kinds)
-    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    names = {c: f"keep_{i}" for i, c in enumerate(plain)} | {text_col: "text"}
-    return done.select(*[F.col(names[c]).alias(c) for c in order], "n_lines", "n_removed")
+    place = {c: f"keep_{i}" for i, c in enumerate(plain)} | {text_col: "text"}
+    return done.select(*[F.col(place[c]).alias(c) for c in docs.columns if c not in names], F.col("n_lines").alias(names[0]), F.col("n_removed").alias(names[1]))

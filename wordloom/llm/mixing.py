@@ -50,8 +50,9 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
     """doc_id, size, source_size, target, taken (and the kept columns) of every row.
 
     weights repeat over the sources by code point, null last. quality: (doc_id, quality) with a weight from 1 to 16, 2 where a document
-    has none; repeated ids count once, with their mean.
+    has none; repeated ids count once, with their mean. Kept columns named as a result column are left out.
     """
+    keep = tuple(c for c in keep if c not in ("doc_id", "size", "source_size", "target", "taken"))
     source = F.col(source_col).cast("string")
     sized = docs.select(
         F.col(id_col).alias("doc_id"),

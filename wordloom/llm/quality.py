@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, mix, rolling, texts
+from .common import WordHash, blocks, lean, mix, rolling, texts
 
 #: Labelled documents a class that training and calibration see at most, by the order of a hash of their ids.
 SAMPLE = 1500
@@ -162,6 +162,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, Sparse, Sparse
 
 def quality_rules(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base numbers, base_failed, probability (null without a model) and kept, for every row."""
+    lean(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = fit(sample(source, labels))
 

@@ -13,6 +13,7 @@ from .licenses import NOTICE, license_scan
 from .line_dedup import line_dedup
 from .mixing import label_quality, mix_sources
 from .ngram_join import ngram_jaccard
+from .oracles import SQL
 from .quality import quality_rules
 from .secrets import secret_scan
 from .substring_dedup import substring_dedup
@@ -104,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

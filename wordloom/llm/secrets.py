@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, texts
+from .common import blocks, lean, texts
 
 #: Documents whose candidates train the network, about; and invented findings.
 SAMPLE_DOCS, INVENTED = 20_000, 3_000
@@ -229,6 +229,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (base and added) and n_model of every row."""
+    lean(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     net = learn(sample_findings(source))
 

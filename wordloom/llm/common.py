@@ -48,7 +48,8 @@ def lean(spark: SparkSession) -> None:
     """Let Arrow batches have BATCH_BYTES at most in this session: the default of 64 MB costs each task several such buffers in the executor and
     in its Python worker, outside the heap. A smaller setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    have = int(re.sub(r"\D", "", spark.conf.get(key, "") or "") or 1 << 62)
+    size = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).strip().lower())
+    have = int(size[1]) << (10 * " kmgt".index(size[2] or " ")) if size else -1
     if have <= 0 or have > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 

@@ -195,7 +195,7 @@ def arabizi_variants(word: Column) -> Column:
         for new in news:
             at = F.instr(word, F.lit(old))
             made.append(F.when(at > 0, F.overlay(word, F.lit(new), at, F.lit(len(old)))))
-    return F.array_sort(F.array_distinct(F.filter(F.array(*made), lambda x: x.isNotNull())))
+    return F.when(word.isNotNull(), F.array_sort(F.array_distinct(F.filter(F.array(*made), lambda x: x.isNotNull()))))
 
 
 def chomp(text: Column) -> Column:

@@ -72,7 +72,7 @@ def mean_tokens(tokens: Column, first: int = 1, drop_last: bool = True) -> Colum
     """Mean of an array of vectors from position first on (0: all), without the last where drop_last."""
     n = F.size(tokens) - first - (1 if drop_last else 0)
     kept = F.slice(tokens, F.lit(first + 1), n)
-    total = F.aggregate(F.slice(kept, F.lit(2), n), F.transform(F.element_at(kept, 1), lambda a: a.cast("double")), add)
+    total = F.aggregate(F.slice(kept, F.lit(2), n), F.transform(F.element_at(kept, 1), lambda a: a.cast("double")), lambda a, b: add(a, b))
     return F.when(n > 0, F.transform(total, lambda a: a / n))
 
 

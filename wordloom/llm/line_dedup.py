@@ -3,8 +3,8 @@
 1. Every line with a word gets a hash, the number of its distinct character shingles, a one-permutation MinHash signature (dense by
    rotation) folded into bands, and a parity sketch of its shingles. Equal lines become one class.
 2. Classes that share a band are candidates; links are verified by the exact Jaccard similarity of the shingle sets (see ``linking``: a
-   frequent band costs a star, not all pairs). With 12 bands of 5 values a pair of similarity 0.8 is found with a probability of 0.99,
-   one of 0.85 with 0.999.
+   frequent band costs a star, not all pairs). With 9 bands of 4 values a pair of similarity 0.8 is found with a probability of 0.99,
+   one of 0.85 with 0.998.
 3. Distributed union-find joins links; of each component, the first line by (doc_id, line number) stays and all others go.
 
 Lines are cut at line feeds and compared without white space at their ends. Lines without a word stay and are not counted. A line shorter
@@ -23,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, blocks, materialise, mix, small_join, texts
+from .common import MEMO_LIMIT, blocks, lean, materialise, mix, small_join, texts
 from .linking import components
 
 BLOCK_BYTES = 4 << 20
-SHINGLE, BINS, BAND_ROWS, BANDS = 7, 64, 5, 12
-PARITY_WORDS = 4
+SHINGLE, BINS, BAND_ROWS, BANDS = 7, 64, 4, 9
+#: 64-bit words of the sketch of every line, and of lines that are still open after the first rounds.
+PARITY_WORDS, SHARP_WORDS = 4, 16
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -41,12 +42,19 @@ def line_hash(line: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(line) ^ (1 << 63)) - (1 << 63)
 
 
-def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingles, bands, parity sketch) of each line."""
+def sketches(owner: np.ndarray, value: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """Parity sketches of each row's distinct values (32 bits)."""
+    size = 64 * words
+    at = owner * size + ((value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+    bits = np.bincount(at, minlength=rows * size) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(rows, size), axis=1).view(np.int64)
+
+
+def distinct_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, 32-bit hash) of the distinct shingles of each line, sorted."""
     rows = [x.decode() for x in lines]
     length = np.array([len(x) for x in rows], np.int64)
     codes = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    starts = np.concatenate(([0], np.cumsum(length)[:-1]))
     h = np.zeros(max(0, len(codes) - SHINGLE + 1), np.uint64)
     for i in range(SHINGLE):
         h = h * np.uint64(0x100000001B3) + codes[i : i + len(h)]
@@ -59,10 +67,14 @@ def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, owner = np.concatenate([h, own]), np.concatenate([owner, short])
     key = np.sort((owner.astype(np.uint64) << np.uint64(32)) | h)
     key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    owner = (key >> np.uint64(32)).astype(np.int64)
-    n = np.bincount(owner, minlength=len(rows))
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    value = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles, bands, parity sketch) of each line."""
+    rows = lines
+    owner, value = distinct_shingles(lines)
+    n = np.bincount(owner, minlength=len(rows))
     cell = owner * BINS + (value >> np.uint32(26)).astype(np.int64)
     first = np.concatenate(([True], cell[1:] != cell[:-1]))  # keys are sorted: a cell's first is its smallest
     sig = np.zeros(len(rows) * BINS, np.uint64)
@@ -83,9 +95,7 @@ def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for r in range(BAND_ROWS):
             x = mix(x * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, b * BAND_ROWS + r])
         bands[:, b] = x
-    size = 64 * PARITY_WORDS
-    bits = np.bincount(owner * size + ((value.astype(np.int64) * 2654435761 >> 20) & (size - 1)), minlength=len(rows) * size) & 1
-    sketch = np.packbits(bits.astype(np.uint8).reshape(len(rows), size), axis=1).view(np.int64)
+    sketch = sketches(owner, value, len(rows), PARITY_WORDS)
     return n, bands.view(np.int64), sketch
 
 
@@ -145,14 +155,28 @@ def shingle_set(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def sharp_sketches(found: DataFrame) -> DataFrame:
+    """(node, sketch) with SHARP_WORDS words of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, BLOCK_BYTES):
+            lines = block.column("text").to_pylist()
+            sketch = sketches(*distinct_shingles(lines), len(lines), SHARP_WORDS)
+            yield from pa.table([block.column("node"), _list(sketch, np.ones(len(lines), bool))], ["node", "sketch"]).to_batches()
+
+    return found.mapInArrow(run, "node long, sketch array<long>")
+
+
 def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Those of (a, b, ta, tb) whose shingle sets have a Jaccard similarity of num / den at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, sets = [], {}
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                a, b = shingle_set(x.decode()), shingle_set(y.decode())
+                a, b = (sets.get(t) or sets.setdefault(t, shingle_set(t.decode())) for t in (x, y))
+                if len(sets) > 2_000:
+                    sets.clear()
                 common = len(a & b)
                 keep.append(den * common >= num * (len(a) + len(b) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -162,6 +186,7 @@ def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """The input's columns with the text without the lines that go, n_lines (lines with a word before) and n_removed (under these names)."""
+    lean(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = materialise(line_table(source), "lines")
     classes = lines.groupBy("h").agg(
@@ -179,14 +204,16 @@ def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "do
     def fits(x: str, y: str) -> str:
         return f"least({x}.n, {y}.n) * {den} >= {num} * greatest({x}.n, {y}.n)"
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = materialise(nodes.join(classes.select("node", "first.doc_id", "first.line"), "node"), "nodes")
-        found = materialise(line_texts(source, wanted), "texts")
+        return line_texts(source, wanted)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        found = materialise(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()), "texts")
         both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return verified(both, num, den)
 
-    found = components(members, classes.select("node", "n", "sketch"), fits, verify, num, den, PARITY_WORDS)
+    found = components(members, classes.select("node", "n", "sketch"), fits, verify, num, den, PARITY_WORDS, between=1, sharpen=lambda nodes: sharp_sketches(texts_of(nodes)), sharp_words=SHARP_WORDS)
     grouped = classes.select("node", "first", "times").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("times").alias("total")).where("total > 1")
     fate = grouped.join(keepers, "component").select(F.col("node").alias("h"), "keeper")

@@ -7,7 +7,9 @@ A record belongs to buckets (a shared rare n-gram, an equal band). Two rounds fi
    each record's set (bit i is the parity of the elements that hash to i) is compared inside the join: differing bits never exceed the
    sets' symmetric difference, so the filter loses no pair that links.
 
-Links that stay within one component after round 1 change no component and are not tried.
+Links that stay within one component after round 1 change no component and are not tried. Where asked for, rounds in between try one
+member for each component of a bucket, so that components which link broadly merge before pairs are tried; and round 2 can take sharper
+sketches, made for the members that are still open only.
 """
 
 from __future__ import annotations
@@ -41,33 +43,70 @@ def may_link(nx: Column, ny: Column, sx: Column, sy: Column, num: int, den: int,
     return differing_bits(sx, sy, words) * (den + num) <= (nx + ny) * (den - num)
 
 
-def components(members: DataFrame, records: DataFrame, fits: Callable[[str, str], str], verify: Verify, num: int, den: int, words: int) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after joining the components of the links' ends; a node without a label is its own component."""
+    for side in "ab":
+        links = links.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    second = connected_components(links.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
+    whole = labels.union(second.select("node", F.col("node").alias("component")).join(labels, "node", "left_anti"))
+    joined = whole.join(second.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return materialise(joined.select("node", F.coalesce("to", "component").alias("component")), "components")
+
+
+def opened(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with their component, in buckets that have several components."""
+    known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return known.join(mixed, "key", "left_semi")
+
+
+def components(
+    members: DataFrame,
+    records: DataFrame,
+    fits: Callable[[str, str], str],
+    verify: Verify,
+    num: int,
+    den: int,
+    words: int,
+    between: int = 0,
+    sharpen: Callable[[DataFrame], DataFrame] | None = None,
+    sharp_words: int = 0,
+) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     members: key, pos, node, n (one row for each bucket of each record; buckets with one member only waste time).
     records: node, n, sketch. fits(x, y): SQL condition on two aliased members that a linking pair meets in one bucket at least.
-    verify: from (a, b) to the pairs that link.
+    verify: from (a, b) to the pairs that link. between: rounds that try one member a component. sharpen: from (node) to (node, sketch)
+    of sharp_words words.
     """
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(records.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+        return verify(materialise(pairs.where(may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), num, den, words)).select("a", "b"), "pairs"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
     centre = members.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("c"))
     star = members.alias("x").join(centre.select("key", "c.*").alias("y"), F.expr(f"x.key = y.key and x.node <> y.node and {fits('x', 'y')}"))
-    pairs = star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    for side in "ab":
-        pairs = pairs.join(records.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
-    pairs = materialise(pairs.where(may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), num, den, words)).select("a", "b"), "pairs")
-    first = materialise(connected_components(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-
-    known = records.join(first, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("component"))
-    open_ = members.join(known.select("node", "component"), "node")
-    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(open_.join(mixed, "key", "left_semi").join(known.select("node", "sketch"), "node"), "open")
+    labels = materialise(connected_components(checked(ordered(star)).select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+
+    for k in range(between):
+        one = opened(members, labels).groupBy("key", "component").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "pos", "node", "n")).alias("m"))
+        one = materialise(one.select("key", "component", "m.*"), "members")
+        first = one.groupBy("key").agg(F.min(F.struct("component", "pos", "node", "n")).alias("c")).select("key", "c.*")
+        across = one.alias("x").join(first.alias("y"), F.expr(f"x.key = y.key and x.component <> y.component and {fits('x', 'y')}"))
+        labels = merged(labels, checked(ordered(across)))
+
+    rest = opened(members, labels)
+    if sharpen:
+        rest = materialise(rest, "open")
+        sketches = materialise(sharpen(rest.select("node").distinct()), "sketches")
+    else:
+        sketches, sharp_words = records.select("node", "sketch"), words
+    rest = materialise(rest.join(sketches, "node"), "open")
     x, y = rest.alias("x"), rest.alias("y")
-    near = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), num, den, words)
+    near = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), num, den, sharp_words)
     across = x.join(y, F.expr(f"x.key = y.key and x.component < y.component and {fits('x', 'y')}") & near)
-    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = verify(materialise(across, "pairs"))
-    for side in "ab":
-        links = links.join(known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side)
-    second = connected_components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
-    whole = first.union(second.select(F.col("node"), F.col("node").alias("component")).join(first, "node", "left_anti"))
-    merged = whole.join(second.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    return materialise(merged.select("node", F.coalesce("to", "component").alias("component")), "components")
+    return merged(labels, verify(materialise(ordered(across), "pairs")))

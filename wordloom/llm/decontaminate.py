@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, texts
+from .common import blocks, lean, materialise, texts
 
 SHARD_BYTES = 16 << 20
 BENCH_BYTES = 32 << 20
@@ -160,6 +160,7 @@ def search(index: DataFrame, tests: dict[tuple[bytes, ...], list[int]], slop: in
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", bench_bytes: int = BENCH_BYTES) -> DataFrame:
     """Every document with its words, hit words, items found as exact phrases and items found by proximity only."""
+    lean(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // bench_bytes))

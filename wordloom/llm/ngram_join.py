@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER_TO_LOWER, WordHash, blocks, materialise, mix, small_join, texts, window_hashes
+from .common import UPPER_TO_LOWER, WordHash, blocks, lean, materialise, mix, small_join, texts, window_hashes
 from .linking import components, parity_sketch
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Counters of the order's sketch: 4 MB, whatever the corpus.
 SKETCH = 1 << 20
 SKETCH_SLICES = 16
@@ -133,6 +133,7 @@ def segments(docs: DataFrame, width: int) -> DataFrame:
 
 def ngram_jaccard(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link where den * intersection >= num * union."""
+    lean(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = materialise(signatures(source, width, num, den, order_sketch(source, width)), "signatures")
     classes = sig.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")).where("node is not null")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, rolling, texts, window_hashes
+from .common import WordHash, blocks, lean, rolling, texts, window_hashes
 
 BLOCK_BYTES = 12 << 20
 #: Windows a bucket should get, and text bytes a group of documents should get.
@@ -171,6 +171,7 @@ def cut(docs: DataFrame, copies: DataFrame, width: int, groups: int) -> DataFram
 
 def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, the removed word intervals and the kept words (joined by one space) of every row."""
+    lean(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, groups = max(1, -(-size // (6 * BUCKET_WINDOWS))), max(1, -(-size // GROUP_BYTES))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,42 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation."""
+#: Paths of the tables that the innermost settle() has written so far.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wordloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation."""
+    done, path = _write(df, label)
+    scratch = _SCRATCH.get()
+    if scratch is not None:
+        scratch.append(path)
+    return done
+
+
+def settle(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Materialise what build() returns, then delete all tables that were materialised on the way to it."""
+    mine: list[str] = []
+    outer = _SCRATCH.set(mine)
+    try:
+        done, path = _write(build(), label)
+    finally:
+        _SCRATCH.reset(outer)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in mine:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
+    scratch = _SCRATCH.get()
+    if scratch is not None:
+        scratch.append(path)
+    return done
 
 
 def lean(spark: SparkSession) -> None:

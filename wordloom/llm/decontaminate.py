@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, materialise, texts
+from .common import blocks, lean, materialise, settle, texts
 
 SHARD_BYTES = 16 << 20
 BENCH_BYTES = 32 << 20
@@ -164,8 +164,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // bench_bytes))
-    state = materialise(build_index(docs, width, id_col, text_col), "index")
-    for part in range(parts):
-        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        state = search(state, phrases(mine.collect(), width), slop, part == parts - 1)
-    return state
+
+    def found() -> DataFrame:
+        state = materialise(build_index(docs, width, id_col, text_col), "index")
+        for part in range(parts):
+            mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+            state = search(state, phrases(mine.collect(), width), slop, part == parts - 1)
+        return state
+
+    return settle(docs.sparkSession, "found", found)

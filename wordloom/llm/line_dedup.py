@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, blocks, lean, materialise, mix, small_join, texts
+from .common import MEMO_LIMIT, blocks, lean, materialise, mix, settle, small_join, texts
 from .linking import components
 
 BLOCK_BYTES = 4 << 20
@@ -188,6 +188,12 @@ def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "do
     """The input's columns with the text without the lines that go, n_lines (lines with a word before) and n_removed (under these names)."""
     lean(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    per_doc = settle(docs.sparkSession, "gone", lambda: _gone(source, num, den))
+    return _rebuilt(docs, per_doc, id_col, text_col, names)
+
+
+def _gone(source: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id and the numbers of its lines that go."""
     lines = materialise(line_table(source), "lines")
     classes = lines.groupBy("h").agg(
         F.min(F.struct("doc_id", "line")).alias("first"),
@@ -218,7 +224,10 @@ def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "do
     keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("times").alias("total")).where("total > 1")
     fate = grouped.join(keepers, "component").select(F.col("node").alias("h"), "keeper")
     gone = lines.select("doc_id", "line", "h").join(fate, "h").where("not (doc_id = keeper.doc_id and line = keeper.line)")
-    per_doc = gone.groupBy("doc_id").agg(F.collect_list("line").alias("__gone"))  # no longer than the document
+    return gone.groupBy("doc_id").agg(F.collect_list("line").alias("__gone"))  # no longer than the document
+
+
+def _rebuilt(docs: DataFrame, per_doc: DataFrame, id_col: str, text_col: str, names: tuple[str, str]) -> DataFrame:
     plain = [c for c in docs.columns if c not in (*names, text_col)]
     joined = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(plain)], F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("__id"))
     joined = joined.join(per_doc.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")

@@ -64,7 +64,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
         sized = sized.withColumn("quality", F.lit(2.0))
     else:
         rated = quality.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-        sized = sized.join(rated, "doc_id", "left").withColumn("quality", F.least(F.lit(16.0), F.greatest(F.lit(1.0), F.coalesce("quality", F.lit(2.0)))))
+        sized = small_join(sized, materialise(rated, "rated"), "doc_id", "left").withColumn("quality", F.least(F.lit(16.0), F.greatest(F.lit(1.0), F.coalesce("quality", F.lit(2.0)))))
     sized = materialise(sized.withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("quality")), "sized")
 
     by_source = sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER_TO_LOWER, WordHash, blocks, lean, materialise, mix, small_join, texts, window_hashes
+from .common import UPPER_TO_LOWER, WordHash, blocks, lean, materialise, mix, settle, small_join, texts, window_hashes
 from .linking import components, parity_sketch
 
 BLOCK_BYTES = 4 << 20
@@ -135,6 +135,10 @@ def ngram_jaccard(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     """doc_id, n_shingles, component_id of every row; documents link where den * intersection >= num * union."""
     lean(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return settle(docs.sparkSession, "jaccard", lambda: _joined(source, width, num, den))
+
+
+def _joined(source: DataFrame, width: int, num: int, den: int) -> DataFrame:
     sig = materialise(signatures(source, width, num, den, order_sketch(source, width)), "signatures")
     classes = sig.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")).where("node is not null")
     classes = materialise(classes, "classes")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.conftest import make
-from wordloom.llm.secrets import RUN, arrays, base_spans, invented, secret_scan, train
+from wordloom.llm.secrets import AFTER, BEFORE, RUN, STEP, arrays, base_spans, invented, secret_scan, train, windows
 
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 6),
@@ -63,3 +63,18 @@ def test_base_of_tables(name, request):
     docs = request.getfixturevalue(name)
     want = sorted((str(r.doc_id), hashlib.sha256(",".join(brute(r.text or "")).encode()).hexdigest()) for r in docs.collect())
     assert sorted((str(r.doc_id), r.base_sha256) for r in secret_scan(docs).collect()) == want
+
+
+def test_secret_deep_in_a_run(spark):
+    key = "a8Dk2LmQ9zXv7TbN4cRw6YpH3sJf5GeKq1Uo8Wi0"
+    heads = ["AWS_ACCESS_NAME_FOR_PRODUCTION_ENVIRONMENT_EU_WEST_ONE_AND_TWO=", "/a/long/path/to/some/folder/of/files/that/never/ends/in/any/way/ghp_"]
+    out = {r.doc_id: r.spans for r in secret_scan(make(spark, [(k, f"see {h}{key} here") for k, h in enumerate(heads)])).collect()}
+    assert out == {k: f"model:4:{4 + len(h) + len(key)}" for k, h in enumerate(heads)}
+
+
+@given(st.integers(1, 400), st.integers(0, 40))
+def test_windows_cover(n, tail):
+    raw = bytes(i % 251 + 1 for i in range(n))
+    got = windows(b"before " + raw + b"~" * tail, 7, 7 + n)
+    assert b"~" * min(tail, AFTER) in got[-1][0]
+    assert all(any(raw[i : i + STEP] in w[BEFORE : BEFORE + k] for w, k in got) for i in range(max(1, n - STEP + 1)))

@@ -1,8 +1,8 @@
 """Secret scans: exact base patterns, then a character convolutional network over every other candidate and its context.
 
-Candidates are runs of 16 or more of ``[A-Za-z0-9+/_.=-]`` with a digit that no base span touches. The network reads the candidate's first
-characters with the characters before it as classes of bytes: an embedding, one convolution, the maximum over the candidate and over its
-context, and one output. It is written in numpy and trained on the driver on labelled findings: invented ones from a fixed generator
+Candidates are runs of 16 or more of ``[A-Za-z0-9+/_.=-]`` with a digit that no base span touches. The network reads a candidate and its
+context as classes of bytes, in overlapping windows up to ``AFTER`` bytes behind its end: an embedding, one convolution, the maximum over the
+candidate's part and over the rest of the window, and one output. A candidate's score is that of its best window. It is written in numpy and trained on the driver on labelled findings: invented ones from a fixed generator
 (keys, tokens and hashes against identifiers, numbers, addresses, paths and dates), and those of a bounded sample of the documents
 (``SAMPLE_DOCS``), where a candidate inside a base span is a secret and any other is not. Half of the secrets lose the word that gives
 them away, so that the shape counts too. Platt scaling calibrates the score on held-out findings; the threshold is the highest that
@@ -32,6 +32,10 @@ from .common import blocks, lean, texts
 SAMPLE_DOCS, INVENTED = 20_000, 3_000
 RECALL = 0.95
 BEFORE, LENGTH = 24, 72
+#: A window with so many bytes of a longer secret is one.
+GLUED = 16
+#: Bytes from one window to the next of a candidate, and the context behind its end that its last window has.
+STEP, AFTER = 24, 12
 EMBED, WIDTH, FILTERS = 8, 5, 24
 BLOCK_BYTES = 8 << 20
 
@@ -65,6 +69,12 @@ def window(text: bytes, start: int, end: int) -> tuple[bytes, int]:
     return left + right, min(end - start, LENGTH - BEFORE)
 
 
+def windows(text: bytes, start: int, end: int) -> list[tuple[bytes, int]]:
+    """Windows over the whole candidate: any STEP bytes of it lie within one, and the last ends AFTER bytes behind it."""
+    last = max(start, end + AFTER - (LENGTH - BEFORE))
+    return [window(text, s, end) for s in (*range(start, last, STEP), last)]
+
+
 def scan(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Base spans, and candidates that touch none of them."""
     runs = list(RUN.finditer(text))
@@ -99,8 +109,11 @@ class Network:
         parts = [self._layers(x[i : i + 512], size[i : i + 512])[3] for i in range(0, len(x), 512)]
         return np.concatenate(parts) if parts else np.empty(0)
 
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30)))
+
     def probability(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x, size) + self.shift, -30, 30)))
+        return self.calibrated(self.raw(x, size))
 
 
 def arrays(found: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +121,17 @@ def arrays(found: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(x < 128, x, 127).astype(np.int64), np.array([n for _, n in found], np.int64)
 
 
-def train(found: list[tuple[bytes, int, int]], epochs: int = 8, seed: int = 5) -> Network:
-    """found: (window, candidate's length in it, 1 for a secret). Adam on minibatches; every fifth finding is held out."""
+def train(found: list[tuple[bytes, int, int]], epochs: int = 8, seed: int = 5, of: list[int] | None = None) -> Network:
+    """found: (window, candidate's length in it, 1 for a secret); of: the number of each window's candidate, without it each is its own. Adam
+    on minibatches; every fifth candidate is held out, and its best window counts."""
     rng = np.random.default_rng(seed)
     x, size = arrays([(w, n) for w, n, _ in found])
     y = np.array([v for _, _, v in found], float)
-    order = rng.permutation(len(y))
-    held, fit = order[::5], np.delete(order, np.arange(0, len(order), 5))
+    _, group = np.unique(np.arange(len(y)) if of is None else of, return_inverse=True)
+    out = np.zeros(group.max(initial=-1) + 1, bool)
+    out[rng.permutation(len(out))[::5]] = True
+    held, fit = np.flatnonzero(out[group]), np.flatnonzero(~out[group])
+    held = held[np.argsort(group[held], kind="stable")]
     net = Network(rng.normal(0, 0.3, (128, EMBED)), rng.normal(0, 0.2, (WIDTH * EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, 2 * FILTERS), 0.0)
     names = ("embed", "conv", "conv_bias", "out")
     m, v, step = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
@@ -140,20 +157,27 @@ def train(found: list[tuple[bytes, int, int]], epochs: int = 8, seed: int = 5) -
                 v[k] = 0.999 * v[k] + 0.001 * grads[k] ** 2
                 setattr(net, k, getattr(net, k) - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8))
             net.bias -= 0.01 * float(dz.sum())
-    raw, truth = net.raw(x[held], size[held]), y[held]
+    first = np.flatnonzero(np.diff(group[held], prepend=-1))
+    raw, truth = (np.maximum.reduceat(v, first) for v in (net.raw(x[held], size[held]), y[held]))
     aim = np.where(truth > 0, 1 - 1 / (truth.sum() + 2), 1 / ((1 - truth).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(500):
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
         a, b = a - 0.05 * float(((p - aim) * raw).mean()), b - 0.05 * float((p - aim).mean())
     net.slope, net.shift = max(a, 1e-3), b
-    scores = np.sort(net.probability(x[held], size[held])[truth > 0])
+    scores = np.sort(net.calibrated(raw)[truth > 0])
     net.threshold = max(0.5, float(scores[math.floor((1 - RECALL) * len(scores))])) if len(scores) else 0.5
     return net
 
 
 def invented(n: int = INVENTED, seed: int = 11) -> list[tuple[bytes, int, int]]:
-    """Labelled findings from a fixed generator: half secrets, half look-alikes."""
+    """The windows of invented_candidates."""
+    return [f for one in invented_candidates(n, seed) for f in one]
+
+
+def invented_candidates(n: int = INVENTED, seed: int = 11) -> list[list[tuple[bytes, int, int]]]:
+    """Labelled findings from a fixed generator, a list of windows each: half secrets, half look-alikes. Some of either stand behind a name or
+    path in one run; of such a run the windows that hold GLUED bytes of the secret are secret."""
     rng = random.Random(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
@@ -176,6 +200,11 @@ def invented(n: int = INVENTED, seed: int = 11) -> list[tuple[bytes, int, int]]:
         lambda: "=" * rng.randint(8, 20) + str(rng.randint(0, 99)) + "-" * rng.randint(8, 20),
         lambda: "_".join(word() for _ in range(4)) + str(rng.randint(0, 99)),
     ]
+    heads = [
+        lambda: "_".join(word().upper() for _ in range(rng.randint(2, 9))) + "=",
+        lambda: "".join(f"/{word()}" for _ in range(rng.randint(2, 12))) + "/",
+        lambda: ".".join(word() for _ in range(rng.randint(2, 9))) + rng.choice(("=", ".", "/")),
+    ]
     keys = ("key", "password", "secret", "token", "auth", "credential")
     out = []
     for i in range(n):
@@ -183,13 +212,17 @@ def invented(n: int = INVENTED, seed: int = 11) -> list[tuple[bytes, int, int]]:
         before = " ".join(word() for _ in range(4)) + " "
         if not i % 2 and rng.random() < 0.5:
             before += rng.choice(keys) + rng.choice(("=", ": ", ' = "', " "))
-        text = (before + value + " " + " ".join(word() for _ in range(4))).encode()
-        out.append((*window(text, len(before), len(before) + len(value)), 1 - i % 2))
+        head = rng.choice(heads)() if rng.random() < 0.25 else ""
+        text = (before + head + value + " " + " ".join(word() for _ in range(4))).encode()
+        start, secret, end = len(before), len(before) + len(head), len(before) + len(head) + len(value)
+        last = max(start, end + AFTER - (LENGTH - BEFORE))
+        held = [min(end, s + LENGTH - BEFORE) - max(secret, s) for s in (*range(start, last, STEP), last)]
+        out.append([(w, k, int(not i % 2 and h >= min(GLUED, len(value)))) for (w, k), h in zip(windows(text, start, end), held, strict=True)])
     return out
 
 
-def sample_findings(docs: DataFrame) -> list[tuple[bytes, int, int]]:
-    """Candidates of about SAMPLE_DOCS documents, taken by the hash of the id; half of the secrets lose their context."""
+def sample_findings(docs: DataFrame) -> list[tuple[list[tuple[bytes, int]], int]]:
+    """Windows and label of candidates of about SAMPLE_DOCS documents, taken by the hash of the id; half of the secrets lose their context."""
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, total))
     chosen = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("secrets")), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -199,28 +232,39 @@ def sample_findings(docs: DataFrame) -> list[tuple[bytes, int, int]]:
             out = []
             for text in texts(block.column("text")):
                 base, rest = scan(text)
-                out += [(*window(text, a, b), 0) for a, b in rest[:50]]
+                out += [(windows(text, a, b), 0) for a, b in rest[:50]]
                 for k, (a, kind, b) in enumerate(base[:50]):
                     if kind == 0:
                         a = ASSIGN.match(text, a).start(2)
-                    w, n = window(text, a, b)
-                    out.append((w if k % 2 else bytes(BEFORE) + w[BEFORE:], n, 1))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.int32(), pa.int32()), strict=True)], ["window", "size", "secret"])
+                    out.append((windows(text, a, b) if k % 2 else windows(bytes(BEFORE) + text[a : b + LENGTH], BEFORE, BEFORE + b - a), 1))
+            cols = [[b"".join(w for w, _ in ws) for ws, _ in out], [[n for _, n in ws] for ws, _ in out], [v for _, v in out]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.list_(pa.int32()), pa.int32()), strict=True)], ["windows", "sizes", "secret"])
 
-    rows = chosen.select("text").mapInArrow(run, "window binary, size int, secret int").distinct().toArrow().to_pylist()
-    return sorted((r["window"], r["size"], r["secret"]) for r in rows)
+    rows = chosen.select("text").mapInArrow(run, "windows binary, sizes array<int>, secret int").distinct().toArrow().to_pylist()
+    return [([(w[k * LENGTH : (k + 1) * LENGTH], n) for k, n in enumerate(sizes)], v) for w, sizes, v in sorted((r["windows"], r["sizes"], r["secret"]) for r in rows)]
 
 
-def learn(sampled: list[tuple[bytes, int, int]]) -> Network:
+def learn(sampled: list[tuple[list[tuple[bytes, int]], int]]) -> Network:
     """Train on invented and sampled findings. What only counts as no secret because no base pattern finds it, but looks like one to a
     network that knows the invented findings, is left out of the second training."""
-    known = invented()
+
+    def fit(candidates: list[list[tuple[bytes, int, int]]]) -> Network:
+        return train([f for one in candidates for f in one], of=[k for k, one in enumerate(candidates) for _ in one])
+
+    known = invented_candidates()
+    first = fit(known)
     if not sampled:
-        return train(known)
-    first = train(known)
-    p = first.probability(*arrays([(w, n) for w, n, _ in sampled]))
-    return train(known + [f for f, q in zip(sampled, p.tolist(), strict=True) if f[2] or q < 0.5])
+        return first
+    p = best(first, [ws for ws, _ in sampled])
+    return fit(known + [[(w, n, v) for w, n in ws] for (ws, v), q in zip(sampled, p.tolist(), strict=True) if v or q < 0.5])
+
+
+def best(net: Network, found: list[list[tuple[bytes, int]]]) -> np.ndarray:
+    """Probability of each candidate: that of its best window."""
+    if not found:
+        return np.empty(0)
+    first = np.cumsum([0, *map(len, found[:-1])])
+    return np.maximum.reduceat(net.probability(*arrays([w for ws in found for w in ws])), first)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -237,8 +281,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for block in blocks(batches, BLOCK_BYTES):
             rows = texts(block.column("text"))
             found = [scan(x) for x in rows]
-            open_ = [window(text, a, b) for text, (_, rest) in zip(rows, found, strict=True) for a, b in rest]
-            good = iter((net.probability(*arrays(open_)) >= net.threshold).tolist() if open_ else ())
+            open_ = [windows(text, a, b) for text, (_, rest) in zip(rows, found, strict=True) for a, b in rest]
+            good = iter((best(net, open_) >= net.threshold).tolist())
             out = []
             for text, (base, rest) in zip(rows, found, strict=True):
                 added = [(a, 3, b) for a, b in rest if next(good)]

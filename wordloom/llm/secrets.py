@@ -1,10 +1,10 @@
 """Secret scans: exact base patterns, then a character convolutional network over every other candidate and its context.
 
-Candidates are runs of 16 or more of ``[A-Za-z0-9+/_.=-]`` with a digit that no base span touches. The network reads a candidate and its
+Candidates are runs of 8 or more of ``[A-Za-z0-9+/_.=-]``, and what base spans leave of such a run where that is as long. The network reads a candidate and its
 context as classes of bytes, in overlapping windows up to ``AFTER`` bytes behind its end: an embedding, one convolution, the maximum over the
 candidate's part and over the rest of the window, and one output. A candidate's score is that of its best window. It is written in numpy and trained on the driver on labelled findings: invented ones from a fixed generator
 (keys, tokens and hashes against identifiers, numbers, addresses, paths and dates), and those of a bounded sample of the documents
-(``SAMPLE_DOCS``), where a candidate inside a base span is a secret and any other is not. Half of the secrets lose the word that gives
+(``SAMPLE_DOCS``, ``SAMPLE_KIND``), where a candidate inside a base span is a secret and any other is not. Half of the secrets lose the word that gives
 them away, so that the shape counts too. Platt scaling calibrates the score on held-out findings; the threshold is the highest that
 still recalls ``RECALL`` of the held-out secrets, but 0.5 at least, so that a weak fit adds doubtful spans rather less than more.
 
@@ -15,6 +15,7 @@ named ones are not carried.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, texts
+from .common import blocks, lean, materialise, texts
 
-#: Documents whose candidates train the network, about; and invented findings.
-SAMPLE_DOCS, INVENTED = 20_000, 3_000
+#: Documents whose candidates train the network, about; of these so many secrets, others of letters and other others; and invented findings.
+SAMPLE_DOCS, SAMPLE_KIND, INVENTED = 20_000, 3_000, 4_000
+#: Findings of a document that the sample draws from, of either label.
+PER_DOC = 50
 RECALL = 0.95
 BEFORE, LENGTH = 24, 72
 #: A window with so many bytes of a longer secret is one.
@@ -38,13 +41,18 @@ GLUED = 16
 STEP, AFTER = 24, 12
 EMBED, WIDTH, FILTERS = 8, 5, 24
 BLOCK_BYTES = 8 << 20
+#: Bytes of text convolved at once.
+CHUNK = 1 << 13
+#: What single precision may take from a score.
+EPSILON = 1e-5
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(rb"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
-RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(rb"[0-9]")
+#: Bytes of a candidate at least.
+SHORTEST = 8
+RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 HINTS = (b"passw", b"secret", b"token", b"api")
 
 
@@ -69,17 +77,39 @@ def window(text: bytes, start: int, end: int) -> tuple[bytes, int]:
     return left + right, min(end - start, LENGTH - BEFORE)
 
 
+def starts(start: int, end: int) -> tuple[int, ...]:
+    """Starts of the windows over a candidate: any STEP bytes of it lie within one, and the last ends AFTER bytes behind it."""
+    last = end + AFTER - (LENGTH - BEFORE)
+    return (start,) if last <= start else (*range(start, last, STEP), last)
+
+
 def windows(text: bytes, start: int, end: int) -> list[tuple[bytes, int]]:
-    """Windows over the whole candidate: any STEP bytes of it lie within one, and the last ends AFTER bytes behind it."""
-    last = max(start, end + AFTER - (LENGTH - BEFORE))
-    return [window(text, s, end) for s in (*range(start, last, STEP), last)]
+    return [window(text, s, end) for s in starts(start, end)]
 
 
 def scan(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Base spans, and candidates that touch none of them."""
+    """Base spans, and candidates: runs, or their parts outside base spans."""
     runs = list(RUN.finditer(text))
     base = base_spans(text, runs)
-    rest = [(m.start(), m.end()) for m in runs if DIGIT.search(text, m.start(), m.end()) and not any(a < m.end() and m.start() < b for a, _, b in base)]
+    if not base:
+        return base, [m.span() for m in runs]
+    rest, k = [], 0
+    cover: list[list[int]] = []
+    for a, _, b in base:
+        if cover and a <= cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], b)
+        else:
+            cover.append([a, b])
+    for m in runs:
+        at, end = m.span()
+        while k < len(cover) and cover[k][1] <= at:
+            k += 1
+        for a, b in itertools.takewhile(lambda x: x[0] < end, itertools.islice(cover, k, None)):  # noqa: B023
+            if a - at >= SHORTEST:
+                rest.append((at, a))
+            at = max(at, b)
+        if end - at >= SHORTEST:
+            rest.append((at, end))
     return base, rest
 
 
@@ -182,15 +212,23 @@ def invented_candidates(n: int = INVENTED, seed: int = 11) -> list[list[tuple[by
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
     word = lambda: pick(lower, rng.randint(2, 9))
+    mixed = lambda k: "".join(rng.sample(pick(lower, k - 4) + pick(upper, 2) + pick(digits, 2), k))
     secrets = [
         lambda: pick("0123456789abcdef", rng.choice((16, 18, 20, 32, 40, 64))),
         lambda: "AKIA" + pick(upper + digits, 16),
         lambda: pick(lower + upper + digits + "+/", rng.choice((24, 32, 40, 44))) + rng.choice(("", "=", "==")),
         lambda: rng.choice(("ghp_", "sk_live_", "xoxb-", "glpat-", "sk-")) + pick(lower + upper + digits, rng.randint(20, 40)),
         lambda: ".".join(pick(lower + upper + digits + "_-", rng.randint(18, 40)) for _ in range(3)),
+        lambda: mixed(rng.randint(8, 15)),
+        lambda: pick(lower + upper, rng.randint(16, 44)),
     ]
     others = [
-        lambda: pick(digits, rng.randint(16, 19)),
+        lambda: pick(digits, rng.randint(8, 19)),
+        lambda: (word() + word() + pick(lower, 4))[: rng.randint(8, 16)] + rng.choice(("", "", ".", "...", "=")),
+        lambda: (word() + word() + pick(lower, 4))[: rng.randint(8, 16)].title() + rng.choice(("", "", ".")),
+        lambda: "-".join(word() + pick(lower, 3) for _ in range(rng.randint(2, 3))),
+        lambda: word() + "".join(pick(lower, rng.randint(4, 8)).title() for _ in range(rng.randint(1, 3))),
+        lambda: "_".join(word().upper() + "ED" for _ in range(rng.randint(2, 4))),
         lambda: f"mail{rng.randint(1, 99)}.{word()}.example.{rng.choice(('com', 'org', 'net'))}",
         lambda: f"{word()}-{word()}-{rng.randint(1, 999)}-{word()}{word()}",
         lambda: f"/{word()}/{word()}/{word()}{rng.randint(0, 99)}.{rng.choice(('html', 'txt', 'png'))}",
@@ -215,8 +253,7 @@ def invented_candidates(n: int = INVENTED, seed: int = 11) -> list[list[tuple[by
         head = rng.choice(heads)() if rng.random() < 0.25 else ""
         text = (before + head + value + " " + " ".join(word() for _ in range(4))).encode()
         start, secret, end = len(before), len(before) + len(head), len(before) + len(head) + len(value)
-        last = max(start, end + AFTER - (LENGTH - BEFORE))
-        held = [min(end, s + LENGTH - BEFORE) - max(secret, s) for s in (*range(start, last, STEP), last)]
+        held = [min(end, s + LENGTH - BEFORE) - max(secret, s) for s in starts(start, end)]
         out.append([(w, k, int(not i % 2 and h >= min(GLUED, len(value)))) for (w, k), h in zip(windows(text, start, end), held, strict=True)])
     return out
 
@@ -232,16 +269,17 @@ def sample_findings(docs: DataFrame) -> list[tuple[list[tuple[bytes, int]], int]
             out = []
             for text in texts(block.column("text")):
                 base, rest = scan(text)
-                out += [(windows(text, a, b), 0) for a, b in rest[:50]]
-                for k, (a, kind, b) in enumerate(base[:50]):
+                out += [(windows(text, a, b), 0 if text[a:b].isalpha() else 2) for a, b in rest[:: len(rest) // PER_DOC + 1]]
+                for k, (a, kind, b) in enumerate(base[:PER_DOC]):
                     if kind == 0:
                         a = ASSIGN.match(text, a).start(2)
                     out.append((windows(text, a, b) if k % 2 else windows(bytes(BEFORE) + text[a : b + LENGTH], BEFORE, BEFORE + b - a), 1))
             cols = [[b"".join(w for w, _ in ws) for ws, _ in out], [[n for _, n in ws] for ws, _ in out], [v for _, v in out]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.list_(pa.int32()), pa.int32()), strict=True)], ["windows", "sizes", "secret"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.list_(pa.int32()), pa.int32()), strict=True)], ["windows", "sizes", "kind"])
 
-    rows = chosen.select("text").mapInArrow(run, "windows binary, sizes array<int>, secret int").distinct().toArrow().to_pylist()
-    return [([(w[k * LENGTH : (k + 1) * LENGTH], n) for k, n in enumerate(sizes)], v) for w, sizes, v in sorted((r["windows"], r["sizes"], r["secret"]) for r in rows)]
+    found = materialise(chosen.select("text").mapInArrow(run, "windows binary, sizes array<int>, kind int").distinct(), "findings")
+    rows = [r for kind in range(3) for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("windows"), "windows").limit(SAMPLE_KIND).toArrow().to_pylist()]
+    return [([(w[k * LENGTH : (k + 1) * LENGTH], n) for k, n in enumerate(sizes)], int(v == 1)) for w, sizes, v in sorted((r["windows"], r["sizes"], r["kind"]) for r in rows)]
 
 
 def learn(sampled: list[tuple[list[tuple[bytes, int]], int]]) -> Network:
@@ -267,6 +305,53 @@ def best(net: Network, found: list[list[tuple[bytes, int]]]) -> np.ndarray:
     return np.maximum.reduceat(net.probability(*arrays([w for ws in found for w in ws])), first)
 
 
+def probabilities(net: Network, rows: list[bytes], found: list[list[tuple[int, int]]]) -> np.ndarray:
+    """Probability of each candidate (start, end) of each text, as best() gives it for its windows. Every position is convolved once, by tables of
+    byte pairs, and a window's maxima come from maxima over 1, 2, 4, ... 32 positions, so a candidate costs a few lookups."""
+    at, size, first = [], [], []
+    offset, parts = BEFORE, [bytes(BEFORE)]
+    for text, rest in zip(rows, found, strict=True):
+        for a, b in rest:
+            first.append(len(at))
+            for p in starts(a, b):
+                at.append(offset + p)
+                size.append(min(b - p, LENGTH - BEFORE))
+        if rest:
+            parts += [text, bytes(LENGTH)]
+            offset += len(text) + LENGTH
+    if not at:
+        return np.empty(0)
+    x = np.minimum(np.frombuffer(b"".join(parts), np.uint8), 127).astype(np.int32)
+    at, size, raw = np.array(at), np.array(size), np.empty(len(at))
+    one = [(net.embed @ net.conv[k * EMBED : (k + 1) * EMBED]).astype(np.float32) for k in range(WIDTH)]
+    pairs = [(one[k][:, None] + one[k + 1][None]).reshape(-1, FILTERS) for k in (0, 2)]
+    last = one[4] + net.conv_bias.astype(np.float32)
+    steps, edges = LENGTH - WIDTH + 1, np.searchsorted(at, np.arange(0, len(x) + CHUNK, CHUNK))
+    for i, j in itertools.pairwise(edges.tolist()):
+        if i == j:
+            continue
+        low = at[i] - BEFORE
+        z = x[low : at[j - 1] + LENGTH - BEFORE]
+        level = [np.maximum(pairs[0][z[:-4] * 128 + z[1:-3]] + pairs[1][z[2:-2] * 128 + z[3:-1]] + last[z[4:]], 0)]
+        for k in range(5):
+            h = level[-1].copy()
+            h[: -(1 << k)] = np.maximum(h[: -(1 << k)], h[1 << k :])
+            level.append(h)
+        level = np.stack(level)
+
+        def most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            k = np.frexp(b - a)[1] - 1  # noqa: B023
+            return np.maximum(level[k, a], level[k, b - (1 << k)])  # noqa: B023
+
+        s, n = at[i:j] - BEFORE - low, size[i:j]
+        left, right = s + BEFORE - WIDTH + 1, s + np.minimum(BEFORE + n, steps)
+        around = most(s, left)
+        more = np.flatnonzero(right < s + steps)
+        around[more] = np.maximum(around[more], most(right[more], s[more] + steps))
+        raw[i:j] = np.concatenate([most(left, right), around], axis=1) @ net.out + net.bias
+    return net.calibrated(np.maximum.reduceat(raw, first))
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -281,8 +366,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for block in blocks(batches, BLOCK_BYTES):
             rows = texts(block.column("text"))
             found = [scan(x) for x in rows]
-            open_ = [windows(text, a, b) for text, (_, rest) in zip(rows, found, strict=True) for a, b in rest]
-            good = iter((best(net, open_) >= net.threshold).tolist())
+            good = iter((probabilities(net, rows, [rest for _, rest in found]) >= net.threshold - EPSILON).tolist())
             out = []
             for text, (base, rest) in zip(rows, found, strict=True):
                 added = [(a, 3, b) for a, b in rest if next(good)]

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.conftest import make
-from wordloom.llm.secrets import AFTER, BEFORE, EPSILON, RUN, STEP, arrays, base_spans, best, invented, probabilities, scan, secret_scan, train, windows
+from wordloom.llm.secrets import AFTER, BEFORE, EPSILON, RECALL, RUN, STEP, arrays, base_spans, best, invented, probabilities, scan, secret_scan, train, windows
 
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 6),
@@ -99,3 +99,13 @@ def test_fast_scores():
     want = best(net, [windows(x, a, b) for x, found in zip(rows, rest, strict=True) for a, b in found])
     assert len(want) > 2000
     assert abs(probabilities(net, rows, rest) - want).max() < EPSILON
+
+
+def test_recall_of_weak_fits():
+    """Labels that nothing in the window tells: the threshold goes as low as recall needs."""
+    found = [(w, n, int(k % 4 == 0)) for k, (w, n, _) in enumerate(invented(1200, seed=4))]
+    net = train(found, epochs=1)
+    held = train(invented(2000, seed=1))
+    assert net.threshold < 0.5
+    assert min(net.recall, held.recall) >= RECALL
+    assert held.precision > 0.9

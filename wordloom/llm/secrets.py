@@ -1,12 +1,14 @@
 """Secret scans: exact base patterns, then a character convolutional network over every other candidate and its context.
 
-Candidates are runs of 8 or more of ``[A-Za-z0-9+/_.=-]``, and what base spans leave of such a run where that is as long. The network reads a candidate and its
-context as classes of bytes, in overlapping windows up to ``AFTER`` bytes behind its end: an embedding, one convolution, the maximum over the
-candidate's part and over the rest of the window, and one output. A candidate's score is that of its best window. It is written in numpy and trained on the driver on labelled findings: invented ones from a fixed generator
-(keys, tokens and hashes against identifiers, numbers, addresses, paths and dates), and those of a bounded sample of the documents
-(``SAMPLE_DOCS``, ``SAMPLE_KIND``), where a candidate inside a base span is a secret and any other is not. Half of the secrets lose the word that gives
-them away, so that the shape counts too. Platt scaling calibrates the score on held-out findings; the threshold is the highest that
-still recalls ``RECALL`` of the held-out secrets, but 0.5 at least, so that a weak fit adds doubtful spans rather less than more.
+Candidates are runs of 8 or more of ``[A-Za-z0-9+/_.=-]``, and what base spans leave of such a run where that is as long. The network reads
+a candidate and its context as classes of bytes, in overlapping windows up to ``AFTER`` bytes behind its end: an embedding, one convolution,
+the maximum over the candidate's part and over the rest of the window, and one output. A candidate's score is that of its best window. It is
+written in numpy and trained on the driver on labelled findings: invented ones from a fixed generator (keys, tokens and hashes against
+identifiers, numbers, addresses, paths and dates), and those of a bounded sample of the documents (``SAMPLE_DOCS``, ``SAMPLE_KIND``), where
+a candidate inside a base span is a secret and any other is not. Half of the secrets lose the word that gives them away, so that the shape
+counts too. Platt scaling calibrates the score on held-out findings; the threshold is the highest that still recalls ``RECALL`` of the
+held-out secrets, however low that is: a weak fit costs precision, not secrets. Held-out recall and precision are logged and kept in
+``Network``.
 
 Offsets are code points, the end exclusive. Null and empty texts have no spans. Repeated rows are scanned each. Columns other than the
 named ones are not carried.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import logging
 import math
 import random
 import re
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import blocks, lean, materialise, texts
 
-#: Documents whose candidates train the network, about; of these so many secrets, others of letters and other others; and invented findings.
+log = logging.getLogger(__name__)
+
+#: Documents whose candidates train the network, about; of these about so many secrets, others of letters and other others; and invented findings.
 SAMPLE_DOCS, SAMPLE_KIND, INVENTED = 20_000, 3_000, 4_000
 #: Findings of a document that the sample draws from, of either label.
 PER_DOC = 50
@@ -123,6 +128,9 @@ class Network:
     slope: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    #: Of held-out candidates at the threshold; NaN without a held-out secret.
+    recall: float = math.nan
+    precision: float = math.nan
 
     def _layers(self, x: np.ndarray, size: np.ndarray) -> tuple:
         e = self.embed[x]  # rows, LENGTH, EMBED
@@ -196,7 +204,10 @@ def train(found: list[tuple[bytes, int, int]], epochs: int = 8, seed: int = 5, o
         a, b = a - 0.05 * float(((p - aim) * raw).mean()), b - 0.05 * float((p - aim).mean())
     net.slope, net.shift = max(a, 1e-3), b
     scores = np.sort(net.calibrated(raw)[truth > 0])
-    net.threshold = max(0.5, float(scores[math.floor((1 - RECALL) * len(scores))])) if len(scores) else 0.5
+    if len(scores):
+        net.threshold = float(scores[math.floor((1 - RECALL) * len(scores))])
+        said = net.calibrated(raw) >= net.threshold
+        net.recall, net.precision = float(said[truth > 0].mean()), float((truth > 0)[said].mean())
     return net
 
 
@@ -278,7 +289,9 @@ def sample_findings(docs: DataFrame) -> list[tuple[list[tuple[bytes, int]], int]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.list_(pa.int32()), pa.int32()), strict=True)], ["windows", "sizes", "kind"])
 
     found = materialise(chosen.select("text").mapInArrow(run, "windows binary, sizes array<int>, kind int").distinct(), "findings")
-    rows = [r for kind in range(3) for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("windows"), "windows").limit(SAMPLE_KIND).toArrow().to_pylist()]
+    have = {r.kind: r["count"] for r in found.groupBy("kind").count().collect()}
+    part = F.create_map(*[F.lit(x) for k, n in (have or {0: 1}).items() for x in (k, min(1_000_000, SAMPLE_KIND * 1_000_000 // n))])
+    rows = found.where(F.pmod(F.xxhash64("windows"), F.lit(1_000_000)) < part[F.col("kind")]).toArrow().to_pylist()
     return [([(w[k * LENGTH : (k + 1) * LENGTH], n) for k, n in enumerate(sizes)], int(v == 1)) for w, sizes, v in sorted((r["windows"], r["sizes"], r["kind"]) for r in rows)]
 
 
@@ -361,6 +374,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lean(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     net = learn(sample_findings(source))
+    log.info("secret scan: threshold %.4f, held-out recall %.4f, precision %.4f", net.threshold, net.recall, net.precision)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):

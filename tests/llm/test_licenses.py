@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from importlib import resources
 
 import pytest
 
@@ -83,3 +84,44 @@ def test_scores(result):
 
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, path string, text string")).collect() == []
+
+
+GPL_HEADER = """/* tool.c - a tool of many uses
+ *
+ * Copyright (C) 2019 Some Body <some@body.example>
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>.
+ */
+"""
+MPL_HEADER = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+CODE = "int main(void) {\n    return step(argument) + other_step(more, arguments);\n}\n" * 40
+
+
+def test_headers_and_whole_licences(spark):
+    body = {p.name.removesuffix(".txt"): p.read_text() for p in (resources.files("wordloom.llm") / "license_texts").iterdir() if ".header" not in p.name}
+    texts = {f"{k}/LICENSE": ("Copyright 2021 Some Body\n" + v, k) for k, v in body.items()}
+    texts |= {"gpl.c": (GPL_HEADER + CODE, "GPL-3.0"), "gpl2.c": (GPL_HEADER.replace("version 3", "version 2") + CODE, "GPL-2.0"), "mpl.py": (MPL_HEADER + CODE, "MPL-2.0")}
+    bsd = "\n".join(f"// {x}" for x in body["BSD-3-Clause"].splitlines())
+    texts |= {"bsd.js": (bsd + "\n" + CODE, "BSD-3-Clause"), "own.c": ("// Copyright Some Body.\n// All rights reserved.\n" + CODE, "proprietary")}
+    files = spark.createDataFrame([(i, "r/" + p, t) for i, (p, (t, _)) in enumerate(texts.items())], "doc_id long, path string, text string")
+    got = {r.path: (r.licence, r.how) for r in license_scan(files).collect()}
+    assert got == {"r/" + p: (k, "own") for p, (_, k) in texts.items()}
+
+
+def test_rights_reserved_is_last_in_a_directory(spark):
+    files = spark.createDataFrame([(1, "a/NOTICE", "All rights reserved."), (2, "a/LICENSE", "Released under the MIT License, by us."), (3, "a/x", "words")], "doc_id long, path string, text string")
+    assert {r.doc_id: r.licence for r in license_scan(files).collect()} == {1: "proprietary", 2: "MIT", 3: "MIT"}

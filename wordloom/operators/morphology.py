@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,6 +163,52 @@ def sentence_lengths(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy(F.size("words").alias("length")).agg(F.count(F.lit(1)).alias("sentences"))
 
 
+def leet_of(word: str) -> Iterator[str]:
+    """The strings of functions.text.leet_variants, each once and one after the other."""
+    signs = []  # of each letter with a choice of two: (letter, sign, whether the sign has to occur, as the other one makes the rest)
+    for letter, pair in X.LEET.items():
+        if len(pair) > 1:
+            have = [y for y in pair if y in word]
+            if len(have) > 1:
+                return
+            free = have or list(pair)
+            signs.append([(letter, y, k > 0) for k, y in enumerate(free if letter in word else free[:1])])
+    plain = {letter: y for letter, y in X.LEET.items() if len(y) == 1}
+    for taken in itertools.product(*signs):
+        sign = plain | {letter: y for letter, y, _ in taken}
+        need = [y for _, y, must in taken if must]
+        parts = [[c, sign[c]] if c in sign else [c] for c in word]
+        for variant in map("".join, itertools.product(*parts)):
+            if variant != word and all(y in variant for y in need):
+                yield variant
+
+
+def leet_spellings(words: DataFrame, batch: int = 1 << 14) -> DataFrame:
+    """word and variant: all spellings of the word in lower case with signs for letters, a row each. Variants are made as they are written, so a
+    long word costs rows, not memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, times, made = [], [], []
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(source, pa.string()).take(pa.array(np.repeat(np.arange(len(times)), times))), pa.array(made, pa.string())], ["word", "variant"])
+
+        for rows in batches:
+            for word, low in zip(rows.column("word").to_pylist(), rows.column("low").to_pylist(), strict=True):
+                variants = leet_of(low)
+                while part := list(itertools.islice(variants, batch - len(made))):
+                    source.append(word)
+                    times.append(len(part))
+                    made += part
+                    if len(made) == batch:
+                        yield full()
+                        source, times, made = [], [], []
+        if made:
+            yield full()
+
+    return words.where("word is not null").select("word", F.lower("word").alias("low")).mapInArrow(run, "word string, variant string")
+
+
 def arabizi_closure(words: DataFrame, depth: int = 12) -> DataFrame:
     """word and variant: everything that replacing digraphs again and again leads to, each variant once, without the word itself.
     New variants are only looked for from those that are new; rules that undo each other end because nothing is kept twice."""

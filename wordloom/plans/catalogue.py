@@ -218,7 +218,7 @@ def unicode_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leet_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_words(spark, sf_dir).where(F.char_length("word") <= 6).select("word", F.explode(X.leet_variants(F.lower("word"))).alias("variant"))
+    return morphology.leet_spellings(distinct_words(spark, sf_dir))
 
 
 @query()

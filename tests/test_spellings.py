@@ -2,7 +2,9 @@
 
 from itertools import product
 
-from wordloom.functions.text import LEET
+import pytest
+
+from wordloom.functions.text import ARABIZI, LEET
 from wordloom.operators import morphology
 from wordloom.plans.catalogue import QUERIES
 
@@ -29,3 +31,27 @@ def test_leet_batches(spark):
     df = spark.createDataFrame([("associates",), (None,), ("xyz",), ("at",)], "word string")
     got = sorted((r.word, r.variant) for r in morphology.leet_spellings(df, batch=7).collect())
     assert got == sorted((w, v) for w in ("associates", "at") for v in brute_leet(w))
+
+
+def brute_closure(word):
+    seen, todo = {word}, [word]
+    while todo:
+        w = todo.pop()
+        more = {w.replace(old, new, 1) for old, news in ARABIZI.items() for new in news} - seen
+        seen |= more
+        todo += more
+    return seen - {word}
+
+
+def test_arabizi_closure(spark, tmp_path):
+    """Words above 8 characters, and one that needs more than 12 replacements."""
+    words = ["chouk7dq7", "constitutional", "tststytstytsty", "x"]
+    got = sorted((r.word, r.variant) for r in QUERIES["arabizi_closure"](spark, documents(spark, tmp_path, " ".join(words))).collect())
+    assert got == sorted((w, v) for w in words for v in brute_closure(w))
+
+
+def test_closure_bound(spark):
+    df = spark.createDataFrame([("tststy",)], "word string")
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        morphology.arabizi_closure(df, rounds=3)
+    assert morphology.arabizi_closure(df, rounds=7).count() == len(brute_closure("tststy"))

@@ -161,7 +161,7 @@ def forms_extract(spark: SparkSession, args: argparse.Namespace) -> None:
     writers.write_table(morphology.long_clusters(morphology.clusters(pairs), args.least).orderBy("cluster", "place").select("word", "cluster"), args.output)
 
 
-@command("taboo", "extract", ("--depth", INT | {"default": 12}))
+@command("taboo", "extract", ("--depth", INT | {"default": 1000}))
 def taboo_extract(spark: SparkSession, args: argparse.Namespace) -> None:
     """Clusters of words and their spelling variants."""
     ensure_checkpoint_dir(spark)

@@ -209,15 +209,17 @@ def leet_spellings(words: DataFrame, batch: int = 1 << 14) -> DataFrame:
     return words.where("word is not null").select("word", F.lower("word").alias("low")).mapInArrow(run, "word string, variant string")
 
 
-def arabizi_closure(words: DataFrame, depth: int = 12) -> DataFrame:
+def arabizi_closure(words: DataFrame, rounds: int = 1000) -> DataFrame:
     """word and variant: everything that replacing digraphs again and again leads to, each variant once, without the word itself.
-    New variants are only looked for from those that are new; rules that undo each other end because nothing is kept twice."""
-    found = words.select("word", F.col("word").alias("variant")).distinct()
+    New variants are only looked for from those that are new, until there are none; if they don't end within `rounds`, that is an error."""
+    found = words.select("word", F.col("word").alias("variant")).distinct().checkpoint()
     new = found
-    for _ in range(depth):
+    for _ in range(rounds):
         grown = new.select("word", F.explode(X.arabizi_variants(F.col("variant"))).alias("variant")).distinct()
         new = grown.join(found, ["word", "variant"], "left_anti").checkpoint()
         if new.isEmpty():
             break
-        found = found.union(new).checkpoint()
+        found = found.union(new)
+    else:
+        raise RuntimeError(f"variants did not end in {rounds} rounds")
     return found.where("word <> variant")

@@ -226,7 +226,7 @@ def arabizi_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    return morphology.arabizi_closure(distinct_words(spark, sf_dir).where(F.char_length("word") <= 8))
+    return morphology.arabizi_closure(distinct_words(spark, sf_dir))
 
 
 # ---- filters, joins and set operations

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import fresh, materialise
+from wordloom.llm.common import fresh, materialise, small_join
 from wordloom.llm.decontaminate import decontaminate
 from wordloom.llm.language import identify, train
 from wordloom.llm.line_dedup import line_dedup
@@ -41,18 +41,36 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash of the whole row, and its column's name: rows of one or no doc_id are told apart, only equal rows share a key."""
+    key = fresh("row_key", docs.columns)
+    return docs.withColumn(key, F.xxhash64(*docs.columns)), key
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the smallest doc_id. Five words, similarity 0.8. Documents without words stay."""
-    found = ngram_jaccard(docs, width=5, num=80, den=100)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component stays: the smallest doc_id (null comes last), of rows with that doc_id the one of the smallest hash. Five words,
+    similarity 0.8. Documents without words stay."""
+    rows, key = keyed(docs)
+    found = ngram_jaccard(rows, width=5, num=80, den=100, id_col=key).where("n_shingles > 0").groupBy(F.col("doc_id").alias(key), "component_id").agg(F.count(F.lit(1)).alias("times"))
+    found = materialise(found, "found")
+    linked = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("component_id")
+    parts = small_join(found, linked, "component_id").select(F.col(key).alias("k"), "component_id")
+    ids = rows.select(F.col(key).alias("k"), F.col("doc_id").alias("id")).distinct()
+    parts = materialise(parts.join(ids, "k"), "linked")
+    first = parts.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first")).select("component_id", F.col("first.k").alias("first"))
+    gone = small_join(parts, first, "component_id").where("k <> first").select(F.col("k").alias(key)).distinct()
+    left = rows.join(gone, key, "left_anti")
+    equal = found.where("times > 1").select(key)
+    once, more = left.join(equal, key, "left_anti"), left.join(equal, key, "left_semi")
+    return once.select(*docs.columns).unionByName(more.select(*docs.columns).distinct())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, slop=0)
-    hit = materialise(found.where("n_hit > 0").select("doc_id").distinct(), "hit")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Rows with a benchmark window go, whatever their doc_id."""
+    rows, key = keyed(docs)
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, slop=0, id_col=key)
+    hit = materialise(found.where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct(), "hit")
+    return rows.join(hit, key, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

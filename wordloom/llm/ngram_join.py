@@ -1,6 +1,7 @@
-"""N-gram Jaccard join by vertical partitioning.
+"""N-gram Jaccard join by a prefix filter, counted in vertical fragments.
 
-The global order of all n-grams (frequent ones last, by a fixed-size count sketch; equal counts by hash) is cut into fragments.
+The global order of all n-grams (frequent ones last, by a fixed-size count sketch; equal counts by hash) serves the prefix filter. Fragments
+are not cut from it but by the first bits of an n-gram's hash, and serve only to count the pairs that the filter has found.
 
 1. Records with equal sets become one class.
 2. A class lists its rarest n-grams, as many as a partner of the asked similarity must meet (prefix filter), with their places in the

@@ -1,18 +1,28 @@
+import random
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.llm.conftest import make
-from wordloom.llm.line_dedup import BANDS, line_dedup, lines_of, shingle_set, signatures
+from wordloom.llm.line_dedup import BANDS, common_shingles, distinct_shingles, line_dedup, lines_of, shingle_set, signatures, sketches
+
+
+def row_key(d, t):
+    """As Spark's xxhash64(doc_id, text)."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", d), 42)
+    h = xxhash.xxh64_intdigest(t.encode(), h) if t is not None else h
+    return (h ^ (1 << 63)) - (1 << 63)
 
 
 def brute(rows, num=80):
-    first, times = {}, Counter()
+    first = {}
     for d, t in rows:
         if d is not None:
             for k, x in lines_of((t or "").encode()):
-                first[x] = min(first.get(x, (d, k)), (d, k))
+                first[x] = min(first.get(x, (d, k, row_key(d, t))), (d, k, row_key(d, t)))
     lines = list(first)
     sets = [shingle_set(x.decode()) for x in lines]
     parent = list(range(len(lines)))
@@ -37,7 +47,7 @@ def brute(rows, num=80):
     out = []
     for d, t in rows:
         own = lines_of((t or "").encode())
-        gone = {k for k, x in own if d is not None and keeper[find(number[x])] != (d, k)}
+        gone = {k for k, x in own if d is not None and keeper[find(number[x])] != (d, k, row_key(d, t))}
         out.append((str(d), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(own), len(gone)))
     return sorted(out, key=str)
 
@@ -60,7 +70,49 @@ def test_repeated_lines_inside_a_document_and_near_copies(spark):
     assert got(make(spark, rows)) == brute(rows)
 
 
-def test_signatures_estimate_similarity():
+def test_rows_of_one_doc_id(spark):
+    """Rows of one doc_id with different texts lose only their own repeated lines, repeated rows the same ones."""
+    one, two = "a line that both of the two rows of number one have", "a line of its own that occurs nowhere else at all"
+    rows = [(0, one), (1, one), (1, two), (1, two), (2, f"{one}\n{two}"), (None, one), (None, two)]
+    done = got(make(spark, rows))
+    assert done == brute(rows)
+    assert ("1", two, 1, 0) in done and ("1", "", 1, 1) in done
+
+
+def test_many_blocks(spark, monkeypatch):
+    """Copies and similar lines across blocks, tasks and buckets; bands that a block shares within."""
+    rng = random.Random(3)
+    base = ["".join(rng.choices("abcdefgh ", k=rng.randint(30, 90))) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        x = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            x[rng.randrange(len(x))] = rng.choice("xyz")
+        rows.append((i, "".join(x) + "\n" + rng.choice(base)))
+    monkeypatch.setattr("wordloom.llm.line_dedup.LINE_BUCKET", 4_000)
+    monkeypatch.setattr("wordloom.llm.line_dedup.BAND_BUCKET", 2_000)
+    monkeypatch.setattr("wordloom.llm.line_dedup.BROADCAST_LINES", 0)
+    assert got(make(spark, rows).repartition(7)) == brute(rows)
+
+
+def test_recall_of_bands():
+    """Pairs of similarity 0.8 to 0.86 share a band."""
+    rng = random.Random(5)
+    pairs = []
+    while len(pairs) < 1500:
+        a = rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=rng.randint(40, 400))
+        b = list(a)
+        for at in rng.sample(range(len(a)), rng.randint(1, 1 + len(a) // 60)):
+            b[at] = "#"
+        x, y = "".join(a).strip(), "".join(b).strip()
+        s, t = shingle_set(x), shingle_set(y)
+        if 0.8 <= len(s & t) / len(s | t) <= 0.86:
+            pairs.append((x, y))
+    bands = [signatures([x.encode() for x in side])[1] for side in zip(*pairs, strict=True)]
+    assert (bands[0] == bands[1]).any(axis=1).mean() >= 0.98
+
+
+def test_signatures_and_sketches():
     rng = np.random.default_rng(1)
     chars = rng.integers(97, 123, 400)
     lines = []
@@ -68,14 +120,17 @@ def test_signatures_estimate_similarity():
         x = chars.copy()
         x[rng.choice(400, changed, replace=False)] = 48
         lines.append(bytes(x.astype(np.uint8)))
-    n, bands, sketch = signatures([*lines, b"short", b"short"])
+    lines += [b"short", b"short", "é".encode() * 9]
+    has, bands = signatures(lines)
+    assert has.tolist() == [0, 1, 2, 5]
     same = lambda a, b: int((bands[a] == bands[b]).sum())
-    assert same(3, 4) == BANDS
-    assert same(0, 1) >= 3
-    assert same(0, 2) == 0
-    assert n[0] == len(shingle_set(lines[0].decode()))
-    for a in range(5):
-        for b in range(5):
-            sets = [shingle_set([*lines, b"short", b"short"][k].decode()) for k in (a, b)]
-            differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in sketch[a] ^ sketch[b])
-            assert differ <= len(sets[0] ^ sets[1])
+    assert bands.shape[1] == BANDS and same(0, 1) >= 3 and same(0, 2) == 0
+    sets = [shingle_set(x.decode()) for x in lines]
+    owner, value = distinct_shingles(lines)
+    assert np.bincount(owner, minlength=6).tolist() == [len(x) for x in sets]
+    sketch = sketches(owner, value, 6, 8)
+    common, total = common_shingles([lines[a] for a in range(6) for _ in range(6)], lines * 6)
+    for a in range(6):
+        for b in range(6):
+            assert sum(bin(int(x) & (2**64 - 1)).count("1") for x in sketch[a] ^ sketch[b]) <= len(sets[a] ^ sets[b])
+            assert (common[6 * a + b], total[6 * a + b]) == (len(sets[a] & sets[b]), len(sets[a]) + len(sets[b]))

@@ -1,36 +1,55 @@
 """Fuzzy line deduplication by MinHash.
 
-1. Every line with a word gets a hash, the number of its distinct character shingles, a one-permutation MinHash signature (dense by
-   rotation) folded into bands, and a parity sketch of its shingles. Equal lines become one class.
-2. Classes that share a band are candidates; links are verified by the exact Jaccard similarity of the shingle sets (see ``linking``: a
-   frequent band costs a star, not all pairs). With 9 bands of 4 values a pair of similarity 0.8 is found with a probability of 0.99,
-   one of 0.85 with 0.998.
-3. Distributed union-find joins links; of each component, the first line by (doc_id, line number) stays and all others go.
+1. ``pack``: each task cuts a bounded block of rows into lines, keeps the first place of each distinct line (the others are known copies at
+   once) and folds a one-permutation MinHash signature of its character shingles into bands. Places are dealt to buckets by the line's hash,
+   bands by the band's. A band that several lines of a block share goes to its bucket once, however many they are.
+2. ``regroup``: each bucket finds the copies of lines across blocks, and the bands that lines of several blocks share.
+3. Lines that share a band are candidates. Their texts are fetched once; links are verified by the exact Jaccard similarity of the shingle
+   sets (see ``linking``: a frequent band costs a star, not all pairs). With 9 bands of 4 values a pair of similarity 0.8 is found with a
+   probability of 0.99, one of 0.85 with 0.998.
+4. Distributed union-find joins links; of each component, the first line by (doc_id, line number, hash of the row) stays and all others go.
 
 Lines are cut at line feeds and compared without white space at their ends. Lines without a word stay and are not counted. A line shorter
-than the shingle is one shingle. Null texts have no lines and stay null. Rows without a doc_id keep all lines and remove none. Rows of the same doc_id
-share line numbers: equal numbers with equal lines stay or go together. All columns of the input are carried; n_lines and n_removed are added
-(replacing columns of these names).
+than the shingle is one shingle. A line is known by 96 bits of its hash, a row by a 64-bit hash of its id and text, so that rows of one doc_id
+are told apart; a line is only removed from a row where its own hash agrees. Should two lines of the corpus agree in the 64 bits that bands
+carry, only one of them is compared with similar lines; copies of both go.
+
+Null and empty texts have no lines and stay as they are. Very long texts and lines are processed whole; a row longer than a block is a block of
+its own. Rows without a doc_id keep all lines and remove none. Repeated rows (equal id and text) keep and lose the same lines. An empty table gives
+an empty result. All columns of the input are carried; n_lines and n_removed are added (replacing columns of these names).
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, blocks, lean, materialise, mix, settle, small_join, texts
-from .linking import components
-
-BLOCK_BYTES = 4 << 20
-SHINGLE, BINS, BAND_ROWS, BANDS = 7, 64, 4, 9
-#: 64-bit words of the sketch of every line, and of lines that are still open after the first rounds.
-PARITY_WORDS, SHARP_WORDS = 4, 16
+from .common import blocks, lean, materialise, mix, rolling, settle, small_join, squeeze, swell, texts
+from .linking import components, may_link
+
+BLOCK_BYTES = 2 << 20
+#: Bytes of text for each bucket of line places and of bands, about.
+LINE_BUCKET, BAND_BUCKET = 64 << 20, 16 << 20
+SHINGLE, BAND_ROWS, BANDS = 7, 4, 9
+BINS = BAND_ROWS * BANDS
+#: 64-bit words of a candidate's parity sketch.
+PARITY_WORDS = 8
+#: Candidate lines whose places may be broadcast: up to 16 bytes each with their rows' keys.
+BROADCAST_LINES = 1 << 19
+#: Elements that a verification sorts at once.
+SORTED = 1 << 20
+#: Of a bin without a shingle.
+EMPTY = np.uint32(0xFFFFFFFF)
 SPACES = b" \t\n\x0b\x0c\r"
+#: Kinds of packed and regrouped rows: first place of a line, band, copy, member of a shared band.
+FIRST, BAND, COPY, MEMBER = range(4)
+REGROUPED = "kind int, a long, b long, c long, line int"
 
 
 def lines_of(text: bytes) -> list[tuple[int, bytes]]:
@@ -38,133 +57,277 @@ def lines_of(text: bytes) -> list[tuple[int, bytes]]:
     return [(i, x) for i, line in enumerate(text.split(b"\n")) if (x := line.strip(SPACES))]
 
 
-def line_hash(line: bytes) -> int:
-    return (xxhash.xxh3_64_intdigest(line) ^ (1 << 63)) - (1 << 63)
+def line_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64 bits that name a line, 32 more that tell lines of one name apart)"""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.uint64).reshape(-1, 2)
+    return both[:, 1].copy(), (both[:, 0] >> np.uint64(32)).astype(np.uint32)
 
 
-def sketches(owner: np.ndarray, value: np.ndarray, rows: int, words: int) -> np.ndarray:
-    """Parity sketches of each row's distinct values (32 bits)."""
-    size = 64 * words
-    at = owner * size + ((value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
-    bits = np.bincount(at, minlength=rows * size) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(rows, size), axis=1).view(np.int64)
+def characters(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all lines, line number of each, length of each line)"""
+    rows = [x.decode() for x in lines]
+    length = np.fromiter(map(len, rows), np.int64, len(rows))
+    codes = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
+    return codes, np.repeat(np.arange(len(rows), dtype=np.int32), length), length
 
 
-def distinct_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, 32-bit hash) of the distinct shingles of each line, sorted."""
-    rows = [x.decode() for x in lines]
-    length = np.array([len(x) for x in rows], np.int64)
-    codes = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    h = np.zeros(max(0, len(codes) - SHINGLE + 1), np.uint64)
+def short_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line number, 32-bit hash) of every shingle, repeats included, of the lines that are no shorter than one; and all lines' lengths."""
+    codes, row, length = characters(lines)
+    n = max(0, len(codes) - SHINGLE + 1)
+    h = np.zeros(n, np.uint32)
     for i in range(SHINGLE):
-        h = h * np.uint64(0x100000001B3) + codes[i : i + len(h)]
-    row = np.repeat(np.arange(len(rows), dtype=np.int64), length)
-    within = row[: len(h)] == row[SHINGLE - 1 :] if len(h) else np.empty(0, bool)
-    h, owner = mix(h[within]) >> np.uint64(32), row[: len(h)][within]
-    short = np.flatnonzero(length < SHINGLE)
-    if len(short):
-        own = np.array([xxhash.xxh3_64_intdigest(lines[i]) >> 32 for i in short.tolist()], np.uint64)
-        h, owner = np.concatenate([h, own]), np.concatenate([owner, short])
-    key = np.sort((owner.astype(np.uint64) << np.uint64(32)) | h)
-    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
-def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingles, bands, parity sketch) of each line."""
-    rows = lines
-    owner, value = distinct_shingles(lines)
-    n = np.bincount(owner, minlength=len(rows))
-    cell = owner * BINS + (value >> np.uint32(26)).astype(np.int64)
-    first = np.concatenate(([True], cell[1:] != cell[:-1]))  # keys are sorted: a cell's first is its smallest
-    sig = np.zeros(len(rows) * BINS, np.uint64)
-    full = np.zeros(len(rows) * BINS, bool)
-    sig[cell[first]] = value[first]
-    full[cell[first]] = True
-    sig, full = sig.reshape(-1, BINS), full.reshape(-1, BINS)
-    carry, far = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+        h *= np.uint32(0x01000193)
+        h += codes[i : i + n]
+    within = row[:n] == row[SHINGLE - 1 :] if n else np.empty(0, bool)
+    h = h[within]
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    return row[:n][within], h, length
+
+
+def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(which lines have a signature, their BANDS band hashes): lines no shorter than a shingle; a shorter one is similar to its copies only."""
+    owner, value, length = short_hashes(lines)
+    rows = len(lines)
+    least = np.full(rows * BINS, EMPTY, np.uint32)
+    np.minimum.at(least, owner * np.int64(BINS) + (((value >> np.uint32(8)) * np.uint32(BINS)) >> np.uint32(24)), value)  # equal types: the fast loop
+    least = least.reshape(-1, BINS)
+    full, sig = least != EMPTY, least.astype(np.uint64)
+    carry, far = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
     for at in range(2 * BINS - 1, -1, -1):  # an empty bin takes the next full one's value, marked by the distance
         i = at % BINS
         carry = np.where(full[:, i], sig[:, i], carry)
         far = np.where(full[:, i], np.uint64(0), far + np.uint64(1))
         if at < BINS:
             sig[:, i] = carry + (far << np.uint64(32))
-    bands = np.zeros((len(rows), BANDS), np.uint64)
+    has = np.flatnonzero(length >= SHINGLE)
+    sig = sig[has]
+    bands = np.zeros((len(has), BANDS), np.uint64)
     for b in range(BANDS):
-        x = np.full(len(rows), b + 1, np.uint64)
+        x = np.full(len(has), b + 1, np.uint64)
         for r in range(BAND_ROWS):
             x = mix(x * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, b * BAND_ROWS + r])
         bands[:, b] = x
-    sketch = sketches(owner, value, len(rows), PARITY_WORDS)
-    return n, bands.view(np.int64), sketch
+    return has, bands
 
 
-def _list(x: np.ndarray, valid: np.ndarray) -> pa.Array:
-    """Rows of x as lists, those that are not valid as nulls."""
-    offsets = np.concatenate(([0], np.cumsum(np.where(valid, x.shape[1], 0)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[valid].ravel()), mask=pa.array(~valid))
+def distinct_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, hash) of the distinct shingles of each line, sorted: hashes have 64 bits less those of the number of lines."""
+    codes, row, length = characters(lines)
+    h = rolling(codes.astype(np.uint64) + np.uint64(1), SHINGLE)
+    within = row[: len(h)] == row[SHINGLE - 1 :] if len(h) else np.empty(0, bool)
+    h, owner = h[within], row[: len(h)][within]
+    short = np.flatnonzero(length < SHINGLE)
+    if len(short):
+        own = np.array([xxhash.xxh3_64_intdigest(lines[i]) for i in short.tolist()], np.uint64)
+        h, owner = np.concatenate([h, own]), np.concatenate([owner, short.astype(np.int32)])
+    # one sort of the line number over as many bits of the hash as there is room for
+    bits = np.uint64(len(lines).bit_length())
+    key = (owner.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+    return (key >> (np.uint64(64) - bits)).astype(np.int64), key << bits
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line, h, n, bands, sketch; bands and sketch are null where a task has given them for an equal line before."""
+def sketches(owner: np.ndarray, value: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """Parity sketches of each row's distinct values."""
+    size = 64 * words
+    at = owner * size + (value >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+    bits = np.bincount(at, minlength=rows * size) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(rows, size), axis=1).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for block in blocks(batches, BLOCK_BYTES):
-            if len(seen) > MEMO_LIMIT:
-                seen.clear()
-            ids, at, hashes, new, fresh = [], [], [], [], []
-            for d, text in zip(block.column("doc_id").to_pylist(), texts(block.column("text")), strict=True):
-                for i, line in lines_of(text):
-                    h = line_hash(line)
-                    ids.append(d)
-                    at.append(i)
-                    hashes.append(h)
-                    fresh.append(h not in seen)
-                    if fresh[-1]:
-                        seen.add(h)
-                        new.append(line)
-            valid = np.array(fresh, bool)
-            n, bands, sketch = np.zeros(len(ids), np.int64), np.zeros((len(ids), BANDS), np.int64), np.zeros((len(ids), PARITY_WORDS), np.int64)
-            if new:
-                n[valid], bands[valid], sketch[valid] = signatures(new)
-            table = pa.table([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64()), pa.array(n), _list(bands, valid), _list(sketch, valid)], ["doc_id", "line", "h", "n", "bands", "sketch"])
-            yield from table.to_batches(max_chunksize=20_000)
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, h long, n long, bands array<long>, sketch array<long>")
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays, the first sorted, as bytes."""
+    parts = [squeeze(np.diff(arrays[0], prepend=arrays[0].dtype.type(0))), *map(squeeze, arrays[1:])]
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
 
 
-def line_texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of wanted (node, doc_id, line)."""
-    by = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))  # no longer than the document
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    sizes = struct.unpack_from(f"<{len(kinds)}I", data)
+    out, at = [], 4 * len(kinds)
+    for n, kind in zip(sizes, kinds, strict=True):
+        out.append(swell(data[at : at + n], kind))
+        at += n
+    return [np.cumsum(out[0], dtype=kinds[0]), *out[1:]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = {}
-            for text, lines in zip(texts(batch.column("text")), batch.column("lines").to_pylist(), strict=True):
-                pick = set(lines)
-                for i, line in lines_of(text):
-                    if i in pick:
-                        found[line_hash(line)] = line
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["node", "text"])
 
-    return small_join(source, by, "doc_id").select("text", "lines").mapInArrow(run, "node long, text binary").dropDuplicates(["node"])
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero(np.diff(x)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)], strict=True)) if len(x) else []
 
 
-def shingle_set(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def repeated(x: np.ndarray) -> np.ndarray:
+    """Which values of a sorted array occur more than once."""
+    same = x[1:] == x[:-1]
+    return np.append(same, False) | np.insert(same, 0, False) if len(x) else same
+
 
+def _scaled(h: np.ndarray, buckets: int) -> np.ndarray:
+    """0 to buckets - 1, in the order of the hashes."""
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
-def sharp_sketches(found: DataFrame) -> DataFrame:
-    """(node, sketch) with SHARP_WORDS words of (node, text)."""
+
+PLACE = (np.uint64, np.uint32, np.int64, np.int64, np.int32)
+
+
+def pack(docs: DataFrame, lines: int, bands: int) -> DataFrame:
+    """docs: doc_id (not null), row, text. bucket, kind, payload: buckets below `lines` are of places, the `bands` ones from there of bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, BLOCK_BYTES):
+            number: dict[bytes, int] = {}
+            which, at, count = [], [], []
+            for text in texts(block.column("text")):
+                own = lines_of(text)
+                count.append(len(own))
+                for i, line in own:
+                    which.append(number.setdefault(line, len(number)))
+                    at.append(i)
+            if not which:
+                continue
+            distinct = list(number)
+            del number
+            code, line = np.array(which, np.int64), np.array(at, np.int32)
+            doc, row = (np.repeat(block.column(c).to_numpy(), count) for c in ("doc_id", "row"))
+            order = np.lexsort((row, line, doc, code))
+            code, line, doc, row = code[order], line[order], doc[order], row[order]
+            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            h, check = line_hashes(distinct)
+            out = []
+            place = np.repeat(first, np.diff(np.append(first, len(code))))
+            copy = np.flatnonzero((doc != doc[place]) | (line != line[place]) | (row != row[place]))
+            if len(copy):
+                by_row = copy[np.argsort(row[copy], kind="stable")]
+                out.append((int(h[0] % np.uint64(lines)), COPY, _packed(row[by_row].view(np.uint64), h[code[by_row]], line[by_row])))
+            order = np.argsort(h)
+            at_first = first[order]
+            sorted_h = h[order]
+            for a, b in _runs(_scaled(sorted_h, lines)):
+                out.append((int(_scaled(sorted_h[a : a + 1], lines)[0]), FIRST, _packed(sorted_h[a:b], check[order[a:b]], doc[at_first[a:b]], row[at_first[a:b]], line[at_first[a:b]])))
+            has, keys = signatures(distinct)
+            if len(has):
+                node = np.repeat(h[has], BANDS)
+                key = keys.ravel()
+                order = np.argsort(key)
+                key, node = key[order], node[order]
+                start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                shared = np.repeat(np.diff(np.append(start, len(key))) > 1, np.diff(np.append(start, len(key))))
+                if shared.any():
+                    out.append((lines + int(h[0] % np.uint64(bands)), MEMBER, _packed(key[shared], node[shared])))
+                key, node = key[start], node[start]
+                for a, b in _runs(_scaled(key, bands)):
+                    out.append((lines + int(_scaled(key[a : a + 1], bands)[0]), BAND, _packed(key[a:b], node[a:b])))
+            for a in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 256], strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "payload"])
+
+    return docs.mapInArrow(run, "bucket long, kind int, payload binary")
+
+
+def regroup(packed: DataFrame) -> DataFrame:
+    """Rows of one kind each: FIRST (a line's name, doc_id, row, line), COPY (name, null, row, line), MEMBER (band, line's name)."""
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray | None = None, c: np.ndarray | None = None, line: np.ndarray | None = None) -> pa.Table:
+        n = len(a)
+        cols = [pa.array(np.full(n, kind, np.int32)), pa.array(a.view(np.int64))]
+        cols += [pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (b, c)]
+        return pa.table([*cols, pa.nulls(n, pa.int32()) if line is None else pa.array(line)], ["kind", "a", "b", "c", "line"])
+
+    def run(table: pa.Table) -> pa.Table:
+        held: dict[int, list[bytes]] = {k: [] for k in (FIRST, BAND, COPY, MEMBER)}
+        for k, x in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            held[k].append(x)
+        out = [rows(FIRST, np.empty(0, np.uint64))]
+        for x in held[COPY]:
+            row, h, line = _unpacked(x, np.uint64, np.uint64, np.int32)
+            out.append(rows(COPY, h, None, row, line))
+        for x in held[MEMBER]:
+            out.append(rows(MEMBER, *_unpacked(x, np.uint64, np.uint64)))
+        if held[FIRST]:
+            h, check, doc, row, line = (np.concatenate(x) for x in zip(*(_unpacked(x, *PLACE) for x in held[FIRST]), strict=True))
+            order = np.argsort(h)
+            many = repeated(h[order])
+            one, order = order[~many], order[many]
+            out.append(rows(FIRST, h[one], doc[one], row[one], line[one]))
+            order = order[np.lexsort((row[order], line[order], doc[order], check[order], h[order]))]
+            h, check, doc, row, line = (x[order] for x in (h, check, doc, row, line))
+            new_name = np.diff(h, prepend=~h[:1]) != 0
+            start = np.flatnonzero(new_name | (np.diff(check, prepend=~check[:1]) != 0))
+            place = np.repeat(start, np.diff(np.append(start, len(h))))
+            copy = (doc != doc[place]) | (line != line[place]) | (row != row[place])
+            out.append(rows(COPY, h[copy], None, row[copy], line[copy]))
+            out.append(rows(FIRST, h[new_name], doc[new_name], row[new_name], line[new_name]))
+        if held[BAND]:
+            key, node = (np.concatenate(x) for x in zip(*(_unpacked(x, np.uint64, np.uint64) for x in held[BAND]), strict=True))
+            order = np.argsort(key)
+            order = order[repeated(key[order])]
+            order = order[np.lexsort((node[order], key[order]))]
+            key, node = key[order], node[order]
+            new = (np.diff(key, prepend=~key[:1]) != 0) | (np.diff(node, prepend=~node[:1]) != 0)
+            key, node = key[new], node[new]
+            shared = repeated(key)
+            out.append(rows(MEMBER, key[shared], node[shared]))
+        return pa.concat_tables(out)
+
+    return packed.groupBy("bucket").applyInArrow(run, REGROUPED)
+
+
+def candidate_lines(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, n (distinct shingles), sketch and text of wanted (node, row, line)."""
+    by = wanted.groupBy("row").agg(F.collect_list("line").alias("lines"))  # no longer than the row's text
+    n = wanted.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
-            lines = block.column("text").to_pylist()
-            sketch = sketches(*distinct_shingles(lines), len(lines), SHARP_WORDS)
-            yield from pa.table([block.column("node"), _list(sketch, np.ones(len(lines), bool))], ["node", "sketch"]).to_batches()
+            found: set[bytes] = set()
+            for text, numbers in zip(texts(block.column("text")), block.column("lines").to_pylist(), strict=True):
+                every = text.split(b"\n")
+                found.update(every[i].strip(SPACES) for i in numbers)
+            lines = list(found)
+            if lines:
+                owner, value = distinct_shingles(lines)
+                size = np.bincount(owner, minlength=len(lines))
+                sketch = sketches(owner, value, len(lines), PARITY_WORDS)
+                cut = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * PARITY_WORDS)
+                yield from pa.table(
+                    [pa.array(line_hashes(lines)[0].view(np.int64)), pa.array(size, pa.int64()), pa.ListArray.from_arrays(cut, pa.array(sketch.ravel())), pa.array(lines, pa.binary())], ["node", "n", "sketch", "text"]
+                ).to_batches(max_chunksize=5_000)
+
+    joined = source.join(F.broadcast(by), "row") if n <= BROADCAST_LINES else source.join(by, "row")
+    return joined.select("text", "lines").mapInArrow(run, "node long, n long, sketch array<long>, text binary").dropDuplicates(["node"])
 
-    return found.mapInArrow(run, "node long, sketch array<long>")
+
+def shingle_set(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def common_shingles(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(size of the intersection, sum of the sizes) of the shingle sets of each pair, by one sort of both sets' hashes under the pair's number."""
+    number: dict[bytes, int] = {}
+    sides = [np.fromiter((number.setdefault(x, len(number)) for x in part), np.int64, len(part)) for part in (left, right)]
+    owner, value = distinct_shingles(list(number))
+    size = np.bincount(owner, minlength=len(number))
+    start = np.cumsum(size) - size
+    total = size[sides[0]] + size[sides[1]]
+    common = np.zeros(len(left), np.int64)
+    ends, at = np.cumsum(total), 0
+    while at < len(left):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORTED, "right")))
+        bits = np.uint64((stop - at).bit_length())
+        keys = []
+        for side in sides:
+            own = side[at:stop]
+            n = size[own]
+            index = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            keys.append((np.repeat(np.arange(stop - at, dtype=np.uint64), n) << (np.uint64(64) - bits)) | (value[index] >> bits))
+        key = np.sort(np.concatenate(keys))
+        same = key[1:][key[1:] == key[:-1]]
+        common[at:stop] = np.bincount((same >> (np.uint64(64) - bits)).astype(np.int64), minlength=stop - at)
+        at = stop
+    return common, total
 
 
 def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -172,76 +335,80 @@ def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, sets = [], {}
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                a, b = (sets.get(t) or sets.setdefault(t, shingle_set(t.decode())) for t in (x, y))
-                if len(sets) > 2_000:
-                    sets.clear()
-                common = len(a & b)
-                keep.append(den * common >= num * (len(a) + len(b) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, batch.num_rows, 4_000):
+                part = batch.slice(i, 4_000)
+                common, total = common_shingles(part.column("ta").to_pylist(), part.column("tb").to_pylist())
+                yield part.select(["a", "b"]).filter(pa.array(den * common >= num * (total - common)))
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text)
+
+
 def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """The input's columns with the text without the lines that go, n_lines (lines with a word before) and n_removed (under these names)."""
     lean(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    per_doc = settle(docs.sparkSession, "gone", lambda: _gone(source, num, den))
-    return _rebuilt(docs, per_doc, id_col, text_col, names)
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    source = docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("row"), text.alias("text")).where("doc_id is not null")
+    gone = settle(docs.sparkSession, "gone", lambda: _gone(source, num, den))
+    return _rebuilt(docs, gone, id_col, text_col, names)
 
 
 def _gone(source: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id and the numbers of its lines that go."""
-    lines = materialise(line_table(source), "lines")
-    classes = lines.groupBy("h").agg(
-        F.min(F.struct("doc_id", "line")).alias("first"),
-        F.count(F.lit(1)).alias("times"),
-        F.max("n").alias("n"),
-        F.first("bands", ignorenulls=True).alias("bands"),
-        F.first("sketch", ignorenulls=True).alias("sketch"),
-    )
-    classes = materialise(classes.withColumnRenamed("h", "node"), "classes")
-    listed = classes.select("node", "n", F.lit(0).alias("pos"), F.explode("bands").alias("key"))
-    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = materialise(listed.join(shared, "key", "left_semi"), "members")
+    """row, and number and name of its lines that go."""
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = materialise(regroup(pack(source, max(1, -(-size // LINE_BUCKET)), max(1, -(-size // BAND_BUCKET)))), "lines")
+    first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("node"), F.struct(F.col("b").alias("doc_id"), "line", F.col("c").alias("row")).alias("first"))
+    members = materialise(found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "members")
+    wanted = materialise(members.select("node").distinct().join(first, "node").select("node", "first.row", "first.line"), "wanted")
+    records = materialise(candidate_lines(source, wanted), "records")
+    members = materialise(members.join(records.select("node", "n"), "node").select("key", "node", "n", F.lit(0).alias("pos")), "members")
 
     def fits(x: str, y: str) -> str:
         return f"least({x}.n, {y}.n) * {den} >= {num} * greatest({x}.n, {y}.n)"
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = materialise(nodes.join(classes.select("node", "first.doc_id", "first.line"), "node"), "nodes")
-        return line_texts(source, wanted)
-
     def verify(pairs: DataFrame) -> DataFrame:
-        found = materialise(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()), "texts")
-        both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return verified(both, num, den)
+        for side in "ab":
+            pairs = pairs.join(records.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"), F.col("text").alias(f"t{side}")), side)
+        near = may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), num, den, PARITY_WORDS)
+        return verified(pairs.where(near), num, den)
 
-    found = components(members, classes.select("node", "n", "sketch"), fits, verify, num, den, PARITY_WORDS, between=1, sharpen=lambda nodes: sharp_sketches(texts_of(nodes)), sharp_words=SHARP_WORDS)
-    grouped = classes.select("node", "first", "times").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("times").alias("total")).where("total > 1")
-    fate = grouped.join(keepers, "component").select(F.col("node").alias("h"), "keeper")
-    gone = lines.select("doc_id", "line", "h").join(fate, "h").where("not (doc_id = keeper.doc_id and line = keeper.line)")
-    return gone.groupBy("doc_id").agg(F.collect_list("line").alias("__gone"))  # no longer than the document
+    linked = components(members, records.select("node", "sketch"), fits, verify, num, den, PARITY_WORDS, between=1)
+    grouped = materialise(linked.join(first, "node"), "linked")
+    keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
+    similar = grouped.join(keepers, "component").where("first <> keeper").select("first.row", "first.line", F.col("node").alias("h"))
+    copies = found.where(F.col("kind") == COPY).select(F.col("c").alias("row"), "line", F.col("a").alias("h"))
+    # copies of a similar line that goes are copies of its first place too
+    return similar.union(copies).groupBy("row").agg(F.collect_list(F.struct("line", "h")).alias("gone"))  # no longer than the row's text
 
 
-def _rebuilt(docs: DataFrame, per_doc: DataFrame, id_col: str, text_col: str, names: tuple[str, str]) -> DataFrame:
+def _rebuilt(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, names: tuple[str, str]) -> DataFrame:
     plain = [c for c in docs.columns if c not in (*names, text_col)]
-    joined = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(plain)], F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("__id"))
-    joined = joined.join(per_doc.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    joined = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(plain)], text.alias("text"), row_key(doc_id, text).alias("__row"), doc_id.isNull().alias("__bare"))
+    joined = joined.join(gone.select(F.col("row").alias("__row"), "gone", F.lit(False).alias("__bare")), ["__row", "__bare"], "left")
+    joined = joined.select(*[f"keep_{i}" for i in range(len(plain))], "text", F.col("gone.line").alias("__line"), F.col("gone.h").alias("__h"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, gone in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+            for text, numbers, hashes in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("__line").to_pylist(), batch.column("__h").to_pylist(), strict=True):
                 if text is None:
                     out.append((None, 0, 0))
                     continue
-                away = set(gone or ())
-                kept = b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in away) if away else text
-                out.append((kept.decode(), len(lines_of(text)), len(away)))
+                lines = text.split(b"\n")
+                own = [x.strip(SPACES) for x in lines]
+                n = sum(map(bool, own))
+                if numbers:
+                    at = [(i, h) for i, h in zip(numbers, hashes, strict=True) if i < len(own) and own[i]]
+                    same = line_hashes([own[i] for i, _ in at])[0].view(np.int64).tolist() if at else []
+                    away = {i for (i, h), mine in zip(at, same, strict=True) if h == mine}
+                    text = b"\n".join(x for i, x in enumerate(lines) if i not in away)
+                    out.append((text.decode(), n, len(away)))
+                else:
+                    out.append((text.decode(), n, 0))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*[batch.column(f"keep_{i}") for i in range(len(plain))], *[pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)]], [*[f"keep_{i}" for i in range(len(plain))], "text", "n_lines", "n_removed"])
 

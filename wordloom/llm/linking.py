@@ -8,8 +8,7 @@ A record belongs to buckets (a shared rare n-gram, an equal band). Two rounds fi
    sets' symmetric difference, so the filter loses no pair that links.
 
 Links that stay within one component after round 1 change no component and are not tried. Where asked for, rounds in between try one
-member for each component of a bucket, so that components which link broadly merge before pairs are tried; and round 2 can take sharper
-sketches, made for the members that are still open only.
+member for each component of a bucket, so that components which link broadly merge before pairs are tried.
 """
 
 from __future__ import annotations
@@ -20,10 +19,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, small_join
 
 Verify = Callable[[DataFrame], DataFrame]
 
+#: Members of a slice of a large bucket, about.
+SLICE = 1 << 12
+
 
 def parity_sketch(hashes: np.ndarray, words: int) -> list[int]:
     """Bits that an odd number of the (distinct) hashes fall on, as 64-bit integers."""
@@ -55,58 +57,46 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def opened(members: DataFrame, labels: DataFrame) -> DataFrame:
     """members with their component, in buckets that have several components."""
-    known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = materialise(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "known")
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return known.join(mixed, "key", "left_semi")
-
-
-def components(
-    members: DataFrame,
-    records: DataFrame,
-    fits: Callable[[str, str], str],
-    verify: Verify,
-    num: int,
-    den: int,
-    words: int,
-    between: int = 0,
-    sharpen: Callable[[DataFrame], DataFrame] | None = None,
-    sharp_words: int = 0,
-) -> DataFrame:
+    return small_join(known, materialise(mixed, "mixed"), "key", "left_semi")
+
+
+def screened(pairs: DataFrame, records: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """Those of (a, b) that may link by the records' (node, n, sketch)."""
+    for side in "ab":
+        pairs = pairs.join(records.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    return pairs.where(may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), num, den, words)).select("a", "b")
+
+
+def components(members: DataFrame, records: DataFrame, fits: Callable[[str, str], str], verify: Verify, num: int, den: int, words: int, between: int = 0) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     members: key, pos, node, n (one row for each bucket of each record; buckets with one member only waste time).
-    records: node, n, sketch. fits(x, y): SQL condition on two aliased members that a linking pair meets in one bucket at least.
-    verify: from (a, b) to the pairs that link. between: rounds that try one member a component. sharpen: from (node) to (node, sketch)
-    of sharp_words words.
+    records: node, sketch. fits(x, y): SQL condition on two aliased members that a linking pair meets in one bucket at least.
+    verify: from distinct (a, b) to the pairs that link. between: rounds that try one member a component.
     """
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(records.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
-        return verify(materialise(pairs.where(may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), num, den, words)).select("a", "b"), "pairs"))
-
     def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        return materialise(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
 
     centre = members.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("c"))
     star = members.alias("x").join(centre.select("key", "c.*").alias("y"), F.expr(f"x.key = y.key and x.node <> y.node and {fits('x', 'y')}"))
-    labels = materialise(connected_components(checked(ordered(star)).select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    labels = materialise(connected_components(verify(ordered(star)).select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
     for k in range(between):
         one = opened(members, labels).groupBy("key", "component").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "pos", "node", "n")).alias("m"))
         one = materialise(one.select("key", "component", "m.*"), "members")
         first = one.groupBy("key").agg(F.min(F.struct("component", "pos", "node", "n")).alias("c")).select("key", "c.*")
         across = one.alias("x").join(first.alias("y"), F.expr(f"x.key = y.key and x.component <> y.component and {fits('x', 'y')}"))
-        labels = merged(labels, checked(ordered(across)))
-
-    rest = opened(members, labels)
-    if sharpen:
-        rest = materialise(rest, "open")
-        sketches = materialise(sharpen(rest.select("node").distinct()), "sketches")
-    else:
-        sketches, sharp_words = records.select("node", "sketch"), words
-    rest = materialise(rest.join(sketches, "node"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    near = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), num, den, sharp_words)
-    across = x.join(y, F.expr(f"x.key = y.key and x.component < y.component and {fits('x', 'y')}") & near)
-    return merged(labels, verify(materialise(ordered(across), "pairs")))
+        labels = merged(labels, verify(ordered(across)))
+
+    rest = materialise(opened(members, labels).join(records.select("node", "sketch"), "node"), "open")
+    # a large bucket is cut into slices of SLICE members: each slice of one side meets the whole bucket in a task of its own
+    slices = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")).where("slices > 1")
+    cut = small_join(rest, materialise(slices, "slices"), "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    x = cut.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).alias("x")
+    y = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("y")
+    near = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), num, den, words)
+    across = x.join(y, F.expr(f"x.key = y.key and x.slice = y.slice and x.component < y.component and {fits('x', 'y')}") & near)
+    return merged(labels, verify(ordered(across)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import UPPER_TO_LOWER, WordHash, blocks, lean, materialise, mix, settle, small_join, texts, window_hashes
-from .linking import components, parity_sketch
+from .linking import components, parity_sketch, screened
 
 BLOCK_BYTES = 4 << 20
 #: Counters of the order's sketch: 4 MB, whatever the corpus.
@@ -152,7 +152,8 @@ def _joined(source: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def fits(x: str, y: str) -> str:
         return f"least({x}.n - {x}.pos, {y}.n - {y}.pos) * {both} >= {num} * ({x}.n + {y}.n)"
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(every: DataFrame) -> DataFrame:
+        pairs = materialise(screened(every, records, num, den, PARITY_WORDS), "pairs")
         ids = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "n", "c1"), "node"), "nodes")
         rows = ids.count()
         wanted = ids.select(F.col("node").alias("doc_id"), "c1")

@@ -24,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, lean, rolling, texts, window_hashes
+from .common import WordHash, blocks, lean, rolling, squeeze, swell, texts, window_hashes
 
 BLOCK_BYTES = 12 << 20
 #: Windows a bucket should get, and text bytes a group of documents should get.
@@ -37,27 +36,17 @@ PACKED = "bucket long, kind int, payload binary"
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string"
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """An integer array as byte planes, so that small numbers leave planes of zeros, which compress away."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
-
-
-def _swell(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def encode(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray) -> bytes:
     """(sorted hashes, index of each one's document, ascending document ids) as bytes."""
-    parts = [_squeeze(np.diff(hashes, prepend=np.uint64(0))), _squeeze(docs.astype(np.uint32)), _squeeze(np.diff(ids.view(np.uint64), prepend=np.uint64(0)))]
+    parts = [squeeze(np.diff(hashes, prepend=np.uint64(0))), squeeze(docs.astype(np.uint32)), squeeze(np.diff(ids.view(np.uint64), prepend=np.uint64(0)))]
     return struct.pack("<2I", len(parts[0]), len(parts[1])) + b"".join(parts)
 
 
 def decode(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, document id of each)"""
     x, y = struct.unpack_from("<2I", b)
-    ids = np.cumsum(_swell(b[8 + x + y :], np.uint64)).view(np.int64)
-    return np.cumsum(_swell(b[8 : 8 + x], np.uint64)), ids[_swell(b[8 + x : 8 + x + y], np.uint32)]
+    ids = np.cumsum(swell(b[8 + x + y :], np.uint64)).view(np.int64)
+    return np.cumsum(swell(b[8 : 8 + x], np.uint64)), ids[swell(b[8 + x : 8 + x + y], np.uint32)]
 
 
 def group_of(doc_id: int, groups: int) -> int:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import make
-from wordloom.llm.decontaminate import decontaminate, intersect, words
+from wordloom.llm.decontaminate import decontaminate, intersect, nearby, words
 
 
 def brute(rows, items, width):
@@ -72,6 +72,27 @@ def test_proximity(spark):
     assert rows == {1: ([1], []), 2: ([], [1]), 3: ([], [])}
 
 
+def test_proximity_belongs_to_the_document_of_its_words(spark):
+    """Matches at the edges of neighbouring documents of one shard, in any order of the words."""
+    docs = make(spark, [(1, "x y z"), (2, "b a c"), (3, "d e a b"), (4, "c d"), (5, "c b a d")]).coalesce(1)
+    bench = spark.createDataFrame([(1, "a b c"), (2, "b a c d"), (3, "a b c d")], "item_id long, text string")
+    want = {}
+    for doc, text in [(1, "x y z"), (2, "b a c"), (3, "d e a b"), (4, "c d"), (5, "c b a d")]:
+        w = text.split()
+        near, exact = set(), set()
+        for item, phrase in ((1, "a b c"), (2, "b a c d"), (3, "a b c d")):
+            g = phrase.split()
+            for s in range(len(w)):
+                if w[s] == g[0] and all(any(w[p] == x for p in range(max(0, s + k - 2), min(len(w), s + k + 3))) for k, x in enumerate(g)):
+                    near.add(item)
+                if w[s : s + len(g)] == g:
+                    exact.add(item)
+        want[doc] = (sorted(exact), sorted(near - exact))
+    assert any(x[1] for x in want.values())
+    assert {r.doc_id: (r["items"], r.near_items) for r in decontaminate(docs, bench, width=4, slop=2).collect()} == want
+
+
 def test_intersect():
     at = [(2, np.array([7])), (0, np.array([1, 5, 9])), (1, np.array([2, 6]))]
-    assert intersect(at, 0).tolist() == [5]
+    assert intersect(at).tolist() == [5]
+    assert nearby([(1, np.array([4])), (0, np.array([1, 2, 5])), (2, np.array([5, 9]))], 1).tolist() == [2]

@@ -16,7 +16,7 @@ from wordloom.llm.queries import queries
 COLUMNS = {
     "op1_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op2_mix_sources": ["doc_id", "size", "source_size", "target", "taken"],
-    "op3_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op3_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items", "near_sha256"],
     "op4_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op5_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op6_language": ["doc_id", "held_out", "lang_pred", "score"],

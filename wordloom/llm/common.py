@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -13,11 +16,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words memorised by a Python worker at most (hash or count of a word); the memo starts anew beyond it.
-MEMO_LIMIT = 1 << 19
+MEMO_LIMIT = 1 << 18
 #: Ids that may be broadcast: 8 bytes each, so 16 MB of keys at the very most. Beyond it joins shuffle.
 BROADCAST_IDS = 1 << 21
 
@@ -28,13 +31,17 @@ UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmn
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests on one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only on one machine (a local master) a temporary one stands in for it."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="wordloom-")
-        if not jvm_dir.isDefined():
+        if jvm_dir.isDefined():
+            at = jvm_dir.get()
+        elif spark.sparkContext.master.startswith("local"):
+            at = tempfile.mkdtemp(prefix="wordloom-")
             spark.sparkContext.setCheckpointDir(at)
+        else:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return at.rstrip("/")
 
 
@@ -58,6 +65,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return done
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Materialise what build() returns, then delete all tables that were materialised on the way to it."""
     mine: list[str] = []
@@ -66,10 +78,8 @@ def settle(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> D
         done, path = _write(build(), label)
     finally:
         _SCRATCH.reset(outer)
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for p in mine:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(conf).delete(at, True)
+            delete(spark, p)
     scratch = _SCRATCH.get()
     if scratch is not None:
         scratch.append(path)
@@ -100,6 +110,46 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def trimmed(run: Run) -> Run:
+    """run, and give free memory back to the system at its end: Python workers are reused, and the next task's needs differ."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # not with every C library
+
+    return inner
+
+
+#: Values of a label that a sample is drawn for, at most.
+MOST_GROUPS = 4096
+
+
+def bounded_sample(rows: DataFrame, by: str, text: str, salt: str, most: int, most_bytes: int) -> DataFrame:
+    """(by, text) of at most `most` different rows for each value of `by` (few values), and of not much more than most_bytes of text, in the
+    order of a hash of the whole row. Rows first pass a share by hash that leaves some four times as many, so that little is sorted."""
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).limit(MOST_GROUPS + 1).collect()
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"{by} has more than {MOST_GROUPS} values")
+    if not sizes:
+        return rows.select(by, text)
+    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes) for x in (k, min(1.0, 4 * most / n))])
+    order = F.xxhash64(*rows.columns, F.lit(salt))
+    near = rows.withColumn("__order", order).where(F.col("__order") / 2.0**64 + 0.5 <= F.element_at(share, F.col(by)))
+    once = near.groupBy(by, "__order").agg(F.first(text).alias(text))  # however often a row is repeated
+    up = Window.partitionBy(by).orderBy("__order")
+    ranked = once.withColumn("__k", F.row_number().over(up)).withColumn("__upto", F.sum(F.octet_length(text)).over(up) - F.octet_length(text))
+    return ranked.where((F.col("__k") <= most) & (F.col("__upto") < most_bytes)).select(by, text)
+
+
 class WordHash(dict):
     """64-bit hash of a word's bytes, remembered up to MEMO_LIMIT words."""
 
@@ -203,17 +253,16 @@ def edge_digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Distributed union-find by alternating large-star and small-star steps.
 
     edges has long columns u and v in any direction; loops and repeats are harmless. Returns (node, component), where component is
-    the smallest node reachable; nodes without a link to another do not appear. Each round ends in a written table.
+    the smallest node reachable; nodes without a link to another do not appear. Each round ends in a written table; rounds go on until one changes
+    nothing, which they do after about the square of the logarithm of the nodes at most.
     """
     e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = edge_digest(e)
-    for _ in range(rounds):
-        if seen[0] == 0:
-            break
+    while seen[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -224,6 +273,4 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -3,12 +3,13 @@
 Every language has a probability for each piece of a fixed public vocabulary. A word's probability is the sum, over all ways to cut it
 into pieces, of the product of their probabilities: a forward pass, done for all new words of a batch and all languages at once. A text's
 score is the product over its words, so all segmentations of the text are summed. Piece probabilities are learned by expectation
-maximisation over the words of a bounded sample of labelled documents (``SAMPLE`` a language, by the hash of the id).
+maximisation over the words of a bounded sample of labelled documents (``SAMPLE`` a language and about ``SAMPLE_BYTES`` of text, by the hash of
+the row). Words of more than ``LONG`` letters are learned from in parts of that length; predictions take words of any length whole.
 
-Words are runs of letters, lower-cased, with the vocabulary's word mark in front. A letter that is no piece costs as the one common unknown
+Words are runs of letters (Unicode's category L, so no numerals such as ½ or Ⅷ), lower-cased, with the vocabulary's word mark in front. A letter that is no piece costs as the one common unknown
 piece. The reported score is the posterior of the predicted language with the evidence tempered to at most ``EVIDENCE`` words.
 
-Texts that are null or have no letter get ``und`` and score 0. If no row can be learned from, all texts get ``und``. Labels are never
+Texts that are null or empty or have no letter get ``und`` and score 0. Very long texts count whole. An empty table gives an empty result. If no row can be learned from, all texts get ``und``. Labels are never
 inputs of a prediction. Repeated rows are predicted each; ties go to the first language by name. Columns other than the named ones are
 not carried.
 """
@@ -16,6 +17,7 @@ not carried.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, blocks, lean, texts
+from .common import blocks, bounded_sample, lean, texts, trimmed
 
-#: Documents a language that are learned from, about, and expectation maximisation steps.
-SAMPLE, STEPS = 300, 4
+#: Documents a language that are learned from at most, bytes of their texts, and expectation maximisation steps.
+SAMPLE, SAMPLE_BYTES, STEPS = 300, 16 << 20, 4
+LONG = 60
 EVIDENCE = 30
-BLOCK_BYTES = 2 << 20
-LETTERS = re.compile(r"[^\W\d_]+")
+BLOCK_BYTES = 1 << 20
+#: Words whose evidence a Python worker keeps, about, and words that it looks up in the lattice at a time.
+MEMO_LIMIT, AT_ONCE = 1 << 17, 20_000
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
 MARK = "▁"
 PRIME = np.uint64(0x100000001B3)
 #: Steps after which the forward values are scaled back into range.
@@ -118,7 +124,7 @@ class Lattice:
         return back
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected number of each piece over all segmentations of the words (of up to 64 characters) under one language's p."""
+        """Expected number of each piece over all segmentations of the words (of up to LONG + 1 characters) under one language's p."""
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         rows, counts = [words[i] for i in order], counts[order]
         n = np.array([len(w) for w in rows])
@@ -169,7 +175,7 @@ class Model:
         new = sorted({w for x in split for w in x}.difference(self.memo))
         if new:
             self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
-            parts = [self.lattice.forward([MARK + w for w in new[i : i + 50_000]], self.p) for i in range(0, len(new), 50_000)]
+            parts = [self.lattice.forward([MARK + w for w in new[i : i + AT_ONCE]], self.p) for i in range(0, len(new), AT_ONCE)]
             self.table = np.concatenate([self.table, *parts])
         look = self.memo.__getitem__
         return [(self.table[np.fromiter(map(look, w), np.int64, len(w))].sum(axis=0), len(w)) for w in split]
@@ -193,8 +199,12 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], steps: int = STE
     lattice, langs = Lattice(pieces), sorted(counts)
     columns = []
     for lang in langs:
-        words = [MARK + w for w in counts[lang] if len(w) < 64]
-        n = np.array([counts[lang][w[1:]] for w in words], float)
+        parts: dict[str, int] = {}
+        for w, n in counts[lang].items():
+            for i in range(0, len(w), LONG):
+                part = w[i : i + LONG] if i else MARK + w[:LONG]
+                parts[part] = parts.get(part, 0) + n
+        words, n = list(parts), np.array(list(parts.values()), float)
         p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
         for _ in range(steps if words else 0):
             e = np.zeros_like(p)
@@ -208,12 +218,7 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], steps: int = STE
 def train(docs: DataFrame, model: str, sample: int = SAMPLE) -> Model | None:
     """docs: doc_id, text, lang of the rows that may be learned from."""
     lean(docs.sparkSession)
-    known = docs.where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, sample / sizes[k]))])
-    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    chosen = bounded_sample(docs.where("lang is not null and text is not null"), "lang", "text", "language", sample, SAMPLE_BYTES)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,10 +230,10 @@ def train(docs: DataFrame, model: str, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string())], ["lang", "word"])
 
     rows = chosen.select("lang", "text").mapInArrow(words, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
-    counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
+    counts: dict[str, dict[str, int]] = {}
     for lang, word, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts[lang][word] = n
-    return learn({k: v for k, v in counts.items() if v}, vocabulary(model))
+        counts.setdefault(lang, {})[word] = n
+    return learn(counts, vocabulary(model))
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -246,5 +251,5 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield from pa.table([*kept, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*[f"keep_{i}" for i in range(len(columns))], "lang_pred", "score"]).to_batches()
 
     kinds = ", ".join(f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    out = source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = source.mapInArrow(trimmed(run), f"{kinds}, lang_pred string, score double")
     return out.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(columns)], F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))

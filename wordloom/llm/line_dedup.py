@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, materialise, mix, rolling, settle, small_join, squeeze, swell, texts
+from .common import blocks, lean, materialise, mix, rolling, settle, squeeze, swell, texts, trimmed
 from .linking import components, may_link
 
 BLOCK_BYTES = 2 << 20
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, lines: int, bands: int) -> DataFrame:
             for a in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 256], strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "payload"])
 
-    return docs.mapInArrow(run, "bucket long, kind int, payload binary")
+    return docs.mapInArrow(trimmed(run), "bucket long, kind int, payload binary")
 
 
 def regroup(packed: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def candidate_lines(source: DataFrame, wanted: DataFrame) -> DataFrame:
                 ).to_batches(max_chunksize=5_000)
 
     joined = source.join(F.broadcast(by), "row") if n <= BROADCAST_LINES else source.join(by, "row")
-    return joined.select("text", "lines").mapInArrow(run, "node long, n long, sketch array<long>, text binary").dropDuplicates(["node"])
+    return joined.select("text", "lines").mapInArrow(trimmed(run), "node long, n long, sketch array<long>, text binary").dropDuplicates(["node"])
 
 
 def shingle_set(line: str) -> set[str]:
@@ -340,7 +340,7 @@ def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 common, total = common_shingles(part.column("ta").to_pylist(), part.column("tb").to_pylist())
                 yield part.select(["a", "b"]).filter(pa.array(den * common >= num * (total - common)))
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -413,6 +413,6 @@ def _rebuilt(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, names
             yield pa.RecordBatch.from_arrays([*[batch.column(f"keep_{i}") for i in range(len(plain))], *[pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)]], [*[f"keep_{i}" for i in range(len(plain))], "text", "n_lines", "n_removed"])
 
     kinds = ", ".join([*[f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(plain)], "text string, n_lines long, n_removed long"])
-    done = joined.mapInArrow(rebuild, kinds)
+    done = joined.mapInArrow(trimmed(rebuild), kinds)
     place = {c: f"keep_{i}" for i, c in enumerate(plain)} | {text_col: "text"}
     return done.select(*[F.col(place[c]).alias(c) for c in docs.columns if c not in names], F.col("n_lines").alias(names[0]), F.col("n_removed").alias(names[1]))

@@ -10,8 +10,9 @@
 Prefix sums don't sort a source in one task: keys fall into buckets by a monotone map, about as many as the square root of the source's
 documents; sums of buckets find the bucket where the budget ends, and only that bucket is sorted.
 
-Null texts have size 0. A null source is a source of its own. Repeated rows count each; rows that agree in id and size share their key.
-A null id has a key of its own. Ties of keys go by id, then size. Other columns of the input are kept where ``keep`` names them.
+Null and empty texts have size 0; very long texts count whole. A null source is a source of its own. The key is by id and text, so rows of one id
+(or of none) have keys of their own; repeated rows count each and share their key. Ties of keys go by id, then size. An empty table gives an
+empty result. Other columns of the input are kept where ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 512
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on key and seed alone: 52 bits of MD5."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 13)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) that depends on id, text and seed alone: 52 bits of MD5."""
+    name = F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    return (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def targets(sources: DataFrame, cap: int) -> DataFrame:
@@ -49,8 +50,8 @@ def targets(sources: DataFrame, cap: int) -> DataFrame:
 def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (and the kept columns) of every row.
 
-    weights repeat over the sources by code point, null last. quality: (doc_id, quality) with a weight from 1 to 16, 2 where a document
-    has none; repeated ids count once, with their mean. Kept columns named as a result column are left out.
+    weights repeat over the sources by code point, null last. quality: (doc_id, quality) with a positive weight (another is an error), 2 where a
+    document has none; repeated ids count once, with their mean. Kept columns named as a result column are left out.
     """
     keep = tuple(c for c in keep if c not in ("doc_id", "size", "source_size", "target", "taken"))
     source = F.col(source_col).cast("string")
@@ -58,24 +59,26 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
         F.col(id_col).alias("doc_id"),
         F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("skey"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        uniform(F.col(id_col), F.col(text_col), seed).alias("u"),
         *[F.col(c).alias(f"keep_{c}") for c in keep],
     )
     if quality is None:
         sized = sized.withColumn("quality", F.lit(2.0))
     else:
         rated = quality.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-        sized = small_join(sized, materialise(rated, "rated"), "doc_id", "left").withColumn("quality", F.least(F.lit(16.0), F.greatest(F.lit(1.0), F.coalesce("quality", F.lit(2.0)))))
-    sized = materialise(sized.withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("quality")), "sized")
+        sized = small_join(sized, materialise(rated, "rated"), "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(2.0)))
+    positive = F.when(F.col("quality") > 0, F.col("quality")).otherwise(F.raise_error(F.lit("a quality weight has to be positive")))
+    sized = materialise(sized.withColumn("key", -F.ln("u") / positive).drop("u"), "sized")
 
-    by_source = sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    by_source = sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"), F.avg("key").alias("scale"))
     ranked = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(Window.orderBy("skey")) - 1) % len(weights) + 1).cast("int")))
-    plan = targets(ranked, cap).join(by_source.select("skey", "rows"), "skey")
+    plan = targets(ranked, cap).join(by_source.select("skey", "rows", "scale"), "skey")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("budget", F.floor("target") - F.col("epochs") * F.col("source_size"))
     plan = materialise(plan.withColumn("buckets", F.ceil(F.col("rows") / F.greatest(F.lit(float(BUCKET_ROWS)), F.sqrt("rows")))).drop("rows"), "plan")
     n = plan.count()
 
-    place = F.least(F.col("buckets") - 1, F.floor(F.col("buckets") * (1 - F.exp(-F.col("key")))))
+    place = F.least(F.col("buckets") - 1, F.floor(F.col("buckets") * (1 - F.exp(-F.col("key") / F.col("scale")))))
     dealt = small_join(sized, plan, "skey", rows=n).withColumn("bucket", place)
     sums = dealt.where("budget > 0").groupBy("skey", "bucket").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
     upto = F.sum("words").over(Window.partitionBy("skey").orderBy("bucket"))

@@ -8,8 +8,8 @@ OP2 = f"""
 WITH rated AS (SELECT doc_id, avg(1.0 + 3.0 * quality) AS q FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 sized AS (
   SELECT d.doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, coalesce(len(regexp_extract_all(text, {WORD})), 0) AS size,
-    -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)
-      / least(16.0, greatest(1.0, coalesce(q, 2.0))) AS key
+    -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)
+      / coalesce(q, 2.0) AS key
   FROM documents d LEFT JOIN rated USING (doc_id)),
 sources AS (SELECT skey, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS weight FROM sized GROUP BY skey),
 ordered AS (
@@ -27,7 +27,7 @@ SELECT doc_id, size, source_size, target, (e * size + greatest(0, least(size, bu
 """
 
 OP3 = f"""
-WITH items AS (SELECT item_id, {FOLDED} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+WITH items AS (SELECT DISTINCT item_id, {FOLDED} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 grams AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + 10], ' ') AS gram
   FROM (SELECT *, unnest(range(greatest(1, len(w) - 9))) AS i FROM items WHERE len(w) > 0)),
@@ -37,9 +37,19 @@ starts AS (
   FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS i FROM docs, (SELECT DISTINCT n FROM grams) WHERE len(w) >= n)),
 found AS (SELECT r, starts.n, i, item_id FROM starts JOIN grams USING (n, gram)),
 hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
-named AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+named AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r),
+places AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS p FROM docs),
+terms AS (SELECT gram, n, unnest(string_split(gram, ' ')) AS word, unnest(range(n)) AS k FROM (SELECT DISTINCT gram, n FROM grams)),
+first AS (SELECT r, p AS s, gram, n FROM places JOIN terms USING (word) WHERE k = 0),
+near AS (
+  SELECT DISTINCT r, gram FROM (
+    SELECT first.r, first.gram, s FROM first JOIN terms ON terms.gram = first.gram JOIN places ON places.r = first.r AND places.word = terms.word AND p BETWEEN s + k - 2 AND s + k + 2 AND (k > 0 OR p = s)
+    GROUP BY first.r, first.gram, s, first.n HAVING count(DISTINCT k) = first.n)),
+close AS (SELECT r, count(*) AS n_near, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS near_ids
+  FROM (SELECT DISTINCT r, item_id FROM near JOIN grams USING (gram) EXCEPT SELECT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near_items, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r) LEFT JOIN close USING (r)
 """
 
 OP4 = f"""

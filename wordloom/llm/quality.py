@@ -1,11 +1,11 @@
 """Quality rules: exact base rules, then a hashed n-gram logistic regression trained on labelled rows.
 
-The regression sees a text as two averages: of word unigram and bigram weights, and of byte 3- to 5-gram weights (the UTF-8 form of
-characters), each hashed into a fixed table. It is trained on the driver from a bounded sample (``SAMPLE`` documents a class, taken by
-the hash of the id), calibrated by Platt scaling on a quarter of the sample that training did not see, and applied in Arrow batches to
+The regression sees a text as two averages: of word unigram and bigram weights, and of character 3- to 5-gram weights, each hashed into a
+fixed table. It is trained on the driver from a bounded sample (``SAMPLE`` documents a class and about ``SAMPLE_BYTES`` of their text, taken by
+the hash of the row), calibrated by Platt scaling on a quarter of the sample that training did not see, and applied in Arrow batches to
 whole texts. A document is kept if the base rules pass and its calibrated probability of being good reaches ``KEEP``.
 
-Null and empty texts have no words and fail the base rules. Labels that are null or name no document are ignored; where a doc_id has several
+Null and empty texts have no words and fail the base rules. Very long texts are read whole. An empty table gives an empty result. Labels that are null or name no document are ignored; where a doc_id has several
 labels the worst holds. Without labels of both classes there is no model, and the base rules decide. Repeated rows are scored each. Columns
 other than the named ones are not carried.
 """
@@ -17,19 +17,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, lean, mix, rolling, texts
+from .common import WordHash, blocks, bounded_sample, lean, mix, rolling, texts, trimmed
 
-#: Labelled documents a class that training and calibration see at most, by the order of a hash of their ids.
-SAMPLE = 1500
+#: Labelled documents a class that training and calibration see at most, and about how many bytes of text.
+SAMPLE, SAMPLE_BYTES = 1500, 16 << 20
 #: Slots of each of the two weight tables.
 SLOTS = 1 << 18
 #: A good document's calibrated probability, at least.
 KEEP = 0.5
 EPOCHS, RATE, DECAY = 12, 20.0, 1e-6
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 CHAR_GRAMS = (3, 4, 5)
@@ -61,9 +62,9 @@ def base_numbers(text: bytes, words: list[bytes], hashes: np.ndarray) -> tuple[i
 
 
 def slots(text: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the word n-grams and of the byte n-grams of a text, one for each occurrence."""
+    """Slots of the word n-grams and of the character n-grams of a text, one for each occurrence."""
     word = np.concatenate([mix(hashes), rolling(hashes, 2)]) & np.uint64(SLOTS - 1)
-    codes = np.frombuffer(text, np.uint8).astype(np.uint32)
+    codes = np.frombuffer(text, np.uint8).astype(np.uint32) if text.isascii() else np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
     chars = []
     for n in CHAR_GRAMS:
         if len(codes) >= n:
@@ -95,7 +96,7 @@ Sparse = tuple[np.ndarray, np.ndarray]
 
 
 def fit(rows: list[tuple[int, Sparse, Sparse]], seed: int = 7) -> Model | None:
-    """rows: (label, (word slots, shares), (byte slots, shares)); logistic regression by averaged gradient steps, then Platt scaling."""
+    """rows: (label, (word slots, shares), (character slots, shares)); logistic regression by averaged gradient steps, then Platt scaling."""
     if len({y for y, _, _ in rows}) < 2:
         return None
     order = np.random.default_rng(seed).permutation(len(rows))
@@ -133,11 +134,12 @@ def fit(rows: list[tuple[int, Sparse, Sparse]], seed: int = 7) -> Model | None:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, Sparse, Sparse]]:
-    """Features of the training sample; their number is bounded by SAMPLE, their length by the tables' slots."""
+    """Features of the training sample; their number is bounded by SAMPLE, their length by SAMPLE_BYTES and the tables' slots."""
     rated = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rated = rated.withColumn("order", F.xxhash64("doc_id"))
-    chosen = [rated.where(F.col("quality") == q).orderBy("order", "doc_id").limit(SAMPLE) for q in (0, 1)]
-    wanted = F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "quality"))  # 2 * SAMPLE rows at most
+    chosen = [rated.where(F.col("quality") == q).orderBy("order", "doc_id").limit(2 * SAMPLE) for q in (0, 1)]
+    wanted = F.broadcast(chosen[0].union(chosen[1]).select("doc_id", F.col("quality").cast("int").alias("quality")))  # 4 * SAMPLE rows at most
+    found = bounded_sample(docs.join(wanted, "doc_id").select("doc_id", "quality", "text").where("text is not null"), "quality", "text", "quality", SAMPLE, SAMPLE_BYTES)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
@@ -151,11 +153,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, Sparse, Sparse
                 out.append(row)
             cols = list(zip(*out, strict=True))
             kinds = (pa.list_(pa.int32()), pa.list_(pa.float32())) * 2
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), block.column("quality").combine_chunks(), *[pa.array(x, t) for x, t in zip(cols, kinds, strict=True)]], ["doc_id", "quality", "wi", "wx", "ci", "cx"])
+            yield pa.RecordBatch.from_arrays([block.column("quality").combine_chunks(), pa.array([xxhash.xxh3_64_hexdigest(x) for x in texts(block.column("text"))]), *[pa.array(x, t) for x, t in zip(cols, kinds, strict=True)]], ["quality", "name", "wi", "wx", "ci", "cx"])
 
-    found = docs.join(wanted, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    got = found.mapInArrow(features, "doc_id long, quality int, wi array<int>, wx array<float>, ci array<int>, cx array<float>").toArrow()
-    got = got.sort_by([("doc_id", "ascending")])
+    got = found.mapInArrow(features, "quality int, name string, wi array<int>, wx array<float>, ci array<int>, cx array<float>").toArrow()
+    got = got.sort_by([("quality", "ascending"), ("name", "ascending")])
     col = {name: got.column(name).to_pylist() if name in ("quality",) else [np.asarray(x.values) for x in got.column(name)] for name in ("quality", "wi", "wx", "ci", "cx")}
     return [(int(y > 0), (a, b.astype(np.float64)), (c, d.astype(np.float64))) for y, a, b, c, d in zip(*(col[k] for k in ("quality", "wi", "wx", "ci", "cx")), strict=True)]
 
@@ -180,4 +181,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_col
             kinds = (*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.bool_())
             yield from pa.table([block.column("doc_id"), *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]).to_batches()
 
-    return source.mapInArrow(run, f"doc_id long, {BASE}, base_failed boolean, probability double, kept boolean")
+    return source.mapInArrow(trimmed(run), f"doc_id long, {BASE}, base_failed boolean, probability double, kept boolean")

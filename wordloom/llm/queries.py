@@ -40,14 +40,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), width=10, slop=2)
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    ids = lambda c: F.sha2(F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ",").cast("binary"), 256)
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
+        ids("items").alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+        ids("near_items").alias("near_sha256"),
     )
 
 

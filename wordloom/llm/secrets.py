@@ -10,7 +10,7 @@ counts too. Platt scaling calibrates the score on held-out findings; the thresho
 held-out secrets, however low that is: a weak fit costs precision, not secrets. Held-out recall and precision are logged and kept in
 ``Network``.
 
-Offsets are code points, the end exclusive. Null and empty texts have no spans. Repeated rows are scanned each. Columns other than the
+Offsets are code points, the end exclusive. Null and empty texts have no spans; very long texts are scanned whole; an empty table gives an empty result. Repeated rows are scanned each. Columns other than the
 named ones are not carried.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, materialise, texts
+from .common import blocks, bounded_sample, lean, materialise, texts, trimmed
 
 log = logging.getLogger(__name__)
 
@@ -38,6 +38,8 @@ log = logging.getLogger(__name__)
 SAMPLE_DOCS, SAMPLE_KIND, INVENTED = 20_000, 3_000, 4_000
 #: Findings of a document that the sample draws from, of either label.
 PER_DOC = 50
+#: Text of the sampled documents, about.
+SAMPLE_BYTES = 256 << 20
 RECALL = 0.95
 BEFORE, LENGTH = 24, 72
 #: A window with so many bytes of a longer secret is one.
@@ -270,10 +272,8 @@ def invented_candidates(n: int = INVENTED, seed: int = 11) -> list[list[tuple[by
 
 
 def sample_findings(docs: DataFrame) -> list[tuple[list[tuple[bytes, int]], int]]:
-    """Windows and label of candidates of about SAMPLE_DOCS documents, taken by the hash of the id; half of the secrets lose their context."""
-    total = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("secrets")), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Windows and label of candidates of SAMPLE_DOCS documents at most, taken by the hash of the row; half of the secrets lose their context."""
+    chosen = bounded_sample(docs.where("text is not null").select("doc_id", "text", F.lit(0).alias("all")), "all", "text", "secrets", SAMPLE_DOCS, SAMPLE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
@@ -397,4 +397,4 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             types = (*[pa.int64()] * 3, pa.string(), pa.string(), pa.int64())
             yield from pa.table([block.column("doc_id"), *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model"]).to_batches()
 
-    return source.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long")
+    return source.mapInArrow(trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long")

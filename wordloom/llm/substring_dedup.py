@@ -8,7 +8,7 @@
 3. ``cut``: copies meet their documents again (dealt by document), covered words merge into maximal intervals and go.
 
 Windows are judged on the input. Words are runs of anything but space and the control characters 9 to 13. Null and empty texts have no
-words. Rows without a doc_id neither remove nor lose words. Rows of the same doc_id don't remove each other's words (no smaller id), and
+words; very long texts are processed whole. An empty table gives an empty result. Rows without a doc_id neither remove nor lose words. Rows of the same doc_id don't remove each other's words (no smaller id), and
 each loses what a smaller id has. Columns other than the named ones are not carried.
 
 A window is known by 64 bits; two different windows among n agree with a probability of about n * n / 2**65 (for 10**9 windows, 3 in a
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, lean, rolling, squeeze, swell, texts, window_hashes
+from .common import WordHash, blocks, lean, rolling, squeeze, swell, texts, trimmed, window_hashes
 
 BLOCK_BYTES = 12 << 20
 #: Windows a bucket should get, and text bytes a group of documents should get.
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, width: int, buckets: int, groups: int) -> DataFrame:
             for a in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 256], strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "payload"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, PACKED)
+    return docs.where("doc_id is not null").mapInArrow(trimmed(run), PACKED)
 
 
 def count(packed: DataFrame, groups: int) -> DataFrame:
@@ -154,7 +154,8 @@ def cut(docs: DataFrame, copies: DataFrame, width: int, groups: int) -> DataFram
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.string())
         return pa.table([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "removed", "kept"])
 
-    keyed = docs.withColumn("grp", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), F.lit(groups)))
+    own = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))  # without an id a row is dealt by its text
+    keyed = docs.withColumn("grp", F.pmod(own, F.lit(groups)))
     return keyed.groupBy("grp").cogroup(copies.groupBy("grp")).applyInArrow(run, RESULT)
 
 

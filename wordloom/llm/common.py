@@ -72,6 +72,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def settle(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Materialise what build() returns, then delete all tables that were materialised on the way to it."""
+    return settled(spark, label, build)[0]
+
+
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """As settle, with the path of the table."""
     mine: list[str] = []
     outer = _SCRATCH.set(mine)
     try:
@@ -83,7 +88,7 @@ def settle(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> D
     scratch = _SCRATCH.get()
     if scratch is not None:
         scratch.append(path)
-    return done
+    return done, path
 
 
 def lean(spark: SparkSession) -> None:

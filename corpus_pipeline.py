@@ -7,12 +7,13 @@ applied; the last returns what the mix takes. The driver writes each stage's row
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import fresh, materialise, small_join
+from wordloom.llm.common import delete, fresh, materialise, settled, small_join
 from wordloom.llm.decontaminate import decontaminate
 from wordloom.llm.language import identify, train
 from wordloom.llm.line_dedup import line_dedup
@@ -92,9 +93,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, name)
-    return docs
+    """The stages one after the other; a stage's table goes when the next one's is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs, path = settled(spark, name, partial(stage, spark, docs, sf_dir))
+        if last:
+            delete(spark, last)
+        last = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,7 +39,7 @@ LINE_BUCKET, BAND_BUCKET = 64 << 20, 16 << 20
 SHINGLE, BAND_ROWS, BANDS = 7, 4, 9
 BINS = BAND_ROWS * BANDS
 #: 64-bit words of a candidate's parity sketch.
-PARITY_WORDS = 8
+PARITY_WORDS = 16
 #: Candidate lines whose places may be broadcast: up to 16 bytes each with their rows' keys.
 BROADCAST_LINES = 1 << 19
 #: Elements that a verification sorts at once.
@@ -375,7 +375,7 @@ def _gone(source: DataFrame, num: int, den: int) -> DataFrame:
         near = may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), num, den, PARITY_WORDS)
         return verified(pairs.where(near), num, den)
 
-    linked = components(members, records.select("node", "sketch"), fits, verify, num, den, PARITY_WORDS, between=1)
+    linked = components(members, records.select("node", "sketch"), fits, verify, num, den, PARITY_WORDS, between=2)
     grouped = materialise(linked.join(first, "node"), "linked")
     keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     similar = grouped.join(keepers, "component").where("first <> keeper").select("first.row", "first.line", F.col("node").alias("h"))

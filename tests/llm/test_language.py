@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 from tests.llm.conftest import make
-from wordloom.llm.language import MARK, Lattice, Model, identify, learn, train
+from wordloom.llm.language import MARK, Lattice, Model, identify, learn, train, RUNS, letters
 
 VOCAB = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -100,3 +100,11 @@ def test_model_travels():
 @pytest.mark.parametrize("text", ["", "123 !!", " "])
 def test_no_letters(text):
     assert learn({"a": {"aa": 1}}, ["a"]).predict([text]) == [("und", 0.0)]
+
+
+def test_numerals_are_no_letters():
+    assert [x for run in RUNS.findall("ab½c ² Ⅷ ② x٣y 日本") for x in letters(run)] == ["ab", "c", "x", "y", "日本"]
+    model = learn({"a": {"cat": 3, "w" * 150: 1}, "b": {"dog": 3}}, ["c", "a", "t", "d", "o", "g", "w"])
+    assert model.predict(["½ ² Ⅷ ②", "", "12 ."]) == [("und", 0.0)] * 3
+    assert model.predict(["cat½cat"]) == model.predict(["cat cat"])
+    assert model.predict(["w" * 500])[0][0] == "a"

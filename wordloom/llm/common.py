@@ -25,7 +25,7 @@ MEMO_LIMIT = 1 << 18
 BROADCAST_IDS = 1 << 21
 
 #: Bytes of an Arrow batch between the JVM and Python, at most (a longer single row still goes as one).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from wordloom.plans import roundtrips  # noqa: F401  (adds its queries)
 from wordloom.plans.catalogue import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -121,3 +121,36 @@ def test_spacing_keeps_characters(text):
     assert "".join(exact.space(text)).replace("\n", "") == "".join(c for c in text if c not in " \n")
     twice = exact.squeeze(exact.squeeze(text))
     assert twice == exact.squeeze(text)
+
+
+def test_normalising_by_parts_equals_the_state_machine():
+    """The short ways (plain words, parts kept by a worker, no emoticon) give what the stages one by one give."""
+    import random
+
+    from wordloom.functions import exact
+
+    def slowly(t):
+        elements = exact.squeeze([e.translate(exact._SIMILAR) if len(e) == 1 else e for e in exact.emoticons(t)])
+        unmarked = [y for k in exact.space(elements) if (y := "".join(c for c in k if c not in exact._MARKS))]
+        return " ".join(exact.tag(k.lower()) for k in exact.squeeze(exact.blank_split(unmarked)))
+
+    rng = random.Random(1)
+    for _ in range(5000):
+        t = "".join(rng.choices("aAbxhttp:)D(-.,0123 \n\t😀👍🏽\u200d\ufe0fé٣\u064bـ@#h/t&;;<>_", k=rng.randint(0, 25)))
+        assert exact.notag(t) == " ".join(exact.preprocess(t))
+        assert exact.tagged(t) == slowly(t)
+
+
+def test_normalising_by_hand():
+    from wordloom.functions import exact
+
+    for text, tokens, tags in [
+        ("Hello, world.", "Hello , world .", "hello , world ."),
+        ("soooo goood!!!!", "soo good ! !", "soo good ! !"),
+        ("3.14 and 1,000", "3.14 and 1,000", "<nbr> and <nbr>"),
+        ("see http://a.example.com/x now", "see http://a.example.com/x now", "see <url> now"),
+        ("", "", ""),
+        ("no no no no", "no no", "no no"),
+        ("fun :) ", "fun 🙂", "fun 🙂"),
+    ]:
+        assert (exact.notag(text), exact.tagged(text)) == (tokens, tags), text

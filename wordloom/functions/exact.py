@@ -234,16 +234,73 @@ def preprocess(text: str, emoticon: bool = True, similar: bool = True, char_dup:
     return squeeze(tokens, word_dup) if word_dup else tokens
 
 
+#: Parts and tokens whose results a Python worker keeps, at most; it starts anew beyond.
+MEMO_LIMIT = 1 << 17
+_EMOTICON = re.compile("|".join(re.escape(x) for x in sorted(_MEANING, key=len, reverse=True)))
+_REPEATS = re.compile(r"([^0-9])\1{2,}", re.DOTALL)
+
+
+class Memo(dict):
+    """Results of a function, kept up to MEMO_LIMIT."""
+
+    def __init__(self, f: Callable[[str], object]):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, key: str) -> object:
+        if len(self) >= MEMO_LIMIT:
+            self.clear()
+        self[key] = out = self.f(key)
+        return out
+
+
+def _unmarked(tokens: Iterable[str]) -> list[str]:
+    return [y for t in tokens if (y := "".join(c for c in t if c not in _MARKS))]
+
+
+_PLAIN = re.compile("([A-Za-zÀ-ÿ]+)([.,]?)")
+
+
+def _part_tokens(part: str) -> list[str]:
+    """As space_part, with a short way for a plain word."""
+    if (m := _PLAIN.fullmatch(part)) and "http" not in part:
+        return [x for x in m.groups() if x]
+    return space_part(list(part))
+
+
+_PARTS = Memo(lambda part: blank_split(_part_tokens(part)))
+_UNMARKED_PARTS = Memo(lambda part: blank_split(_unmarked(_part_tokens(part))))
+_TAGS = Memo(lambda token: token.lower() if token.isalpha() else tag(token.lower()))  # no tag is of letters alone
+
+
+def _spaced(text: str, parts: Memo) -> list[str]:
+    """Tokens of a text without emoticons: no rule but squeezing looks beyond a part without blanks, so each distinct part is spaced once."""
+    flat = _REPEATS.sub(r"\1\1", text.translate(_SIMILAR))
+    out: list[str] = []
+    for i, line in enumerate(flat.split("\n")):
+        if i:
+            out.append("\n")
+        for part in line.split(" "):
+            if part:
+                out += parts[part]
+    return out
+
+
 def notag(text: str) -> str:
     """Emoticons, similar characters, repeats and spacing; tokens joined by a space."""
-    return " ".join(preprocess(text))
+    if _EMOTICON.search(text):
+        return " ".join(preprocess(text))
+    return " ".join(squeeze(_spaced(text, _PARTS)))
 
 
 def tagged(text: str) -> str:
     """As notag, without Arabic marks, in lower case, with entities as tags."""
-    elements = squeeze([e.translate(_SIMILAR) if len(e) == 1 else e for e in emoticons(text)])
-    unmarked = [y for t in space(elements) if (y := "".join(c for c in t if c not in _MARKS))]
-    return " ".join(tag(t.lower()) for t in squeeze(blank_split(unmarked)))
+    if _EMOTICON.search(text):
+        elements = squeeze([e.translate(_SIMILAR) if len(e) == 1 else e for e in emoticons(text)])
+        tokens = blank_split(_unmarked(space(elements)))
+    else:
+        tokens = _spaced(text, _UNMARKED_PARTS)
+    return " ".join(map(_TAGS.__getitem__, squeeze(tokens)))
 
 
 def _strings(f: Callable[[str], str]) -> Callable[[Column], Column]:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions import text as X
 
@@ -33,10 +34,16 @@ def long_clusters(grouped: DataFrame, least: int = 1, with_root: bool = True) ->
 
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """df with index: the place, from 0, of a row's key among the sorted distinct keys. Keys are cut into ranges; a range's offset is the
-    number of keys before it (one row a range), so the numbering is distributed."""
+    """df with index: the place, from 0, of a row's key among the sorted distinct keys. Keys are cut into ranges by value; a range's offset is
+    the number of keys before it (one row a range), so the numbering is distributed. Null comes first."""
     keys = df.select(key).distinct()
-    head = F.coalesce(F.substring(F.col(key).cast("string"), 1, 2), F.lit(""))
+    if isinstance(df.schema[key].dataType, T.StringType):
+        head = F.coalesce(F.substring(F.col(key), 1, 2), F.lit(""))
+    else:  # ranges of the value, as text would sort 10 before 2
+        number = F.unix_micros(F.col(key).cast("timestamp")) if isinstance(df.schema[key].dataType, (T.DateType, T.TimestampType)) else F.col(key).cast("double")
+        bounds = keys.select(F.percentile_approx(number.cast("double"), [i / 64 for i in range(1, 64)])).first()[0] or []
+        below = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < number)) if bounds else F.lit(0)
+        head = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(below)
     sizes = keys.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("before"))
     inner = keys.withColumn("head", head).withColumn("at", F.row_number().over(Window.partitionBy("head").orderBy(key)) - 1)
@@ -121,11 +128,13 @@ def stem(df: DataFrame, prefixes: list[str], suffixes: list[str], word: str = "w
     return cut.withColumn("root", F.expr("substring(root, char_length(prefix) + 1)"))
 
 
-def stem_join(df: DataFrame, prefixes: DataFrame, suffixes: DataFrame, word: str = "word", longest: int = 12) -> DataFrame:
-    """The same for affix tables (column affix) of any size: candidate lengths become rows, equal strings join, the longest match stays."""
+def stem_join(df: DataFrame, prefixes: DataFrame, suffixes: DataFrame, word: str = "word") -> DataFrame:
+    """The same for affix tables (column affix) of any size: candidate lengths, up to the longest affix, become rows, equal strings join, the longest
+    match stays."""
     words = df.select(word).distinct()
 
     def best(rows: DataFrame, column: str, affixes: DataFrame, at_end: bool) -> DataFrame:
+        longest = affixes.agg(F.max(F.char_length("affix"))).first()[0] or 1
         n = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.char_length(column), F.lit(longest))))).alias("n")
         part = F.expr(f"right(`{column}`, n)" if at_end else f"left(`{column}`, n)")
         found = rows.select(column, n).withColumn("affix", part).join(affixes.select("affix").distinct(), "affix")

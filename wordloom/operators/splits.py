@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that an integer key is cut into.
+RANGES = 4096
+
+
 def rank_key(key: str | Column, seed: int = 42) -> Column:
     return F.xxhash64(key, F.lit(seed))
 
@@ -17,10 +21,15 @@ def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 def chunks(df: DataFrame, rows: int, key: str, seed: int | None = 42) -> DataFrame:
     """df with chunk: numbers from 0, `rows` rows each (the last has the rest), in shuffled order, or in the key's order with seed None.
-    The order is cut by the first bits of the rank; a group's offset is the number of rows before it, so no task sorts all rows."""
-    ranked = df.withColumn("__rank", rank_key(key, seed)) if seed is not None else df.withColumn("__rank", F.col(key).cast("long"))
-    shift = 48 if seed is not None else 12
-    ranked = ranked.withColumn("__group", F.shiftright("__rank", shift))
+    The order is cut by the first bits of the rank, or into RANGES equal ranges of an integer key (nulls come first); a group's offset is the number
+    of rows before it, so no task sorts all rows."""
+    if seed is not None:
+        ranked = df.withColumn("__rank", rank_key(key, seed)).withColumn("__group", F.shiftright("__rank", 48))
+    else:
+        ranked = df.withColumn("__rank", F.col(key).cast("long"))
+        low, high = ranked.agg(F.min("__rank"), F.max("__rank")).first()
+        width = ((high - low) // RANGES + 1) if low is not None else 1
+        ranked = ranked.withColumn("__group", F.coalesce(F.floor((F.col("__rank").cast("decimal(38,0)") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1)))
     sizes = ranked.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.select("__group", (F.sum("__n").over(Window.orderBy("__group")) - F.col("__n")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__group").orderBy("__rank", key)) - 1

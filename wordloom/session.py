@@ -21,8 +21,12 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take spark.checkpoint.dir from the session; a temporary folder only where none is set (one machine)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir. Only on one machine (a local master) a temporary one stands in for it."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wordloom-"))
+        at = context.getConf().get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="wordloom-"))
+    return context._jsc.sc().getCheckpointDir().get()

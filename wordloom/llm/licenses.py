@@ -11,7 +11,8 @@
    A file without a licence of its own takes that of the nearest ancestor directory that has one, found by joining all ancestors of
    all directories with the licensed directories.
 
-Files with a null or empty text, or a null path, have no licence of their own; a null path inherits nothing. Repeated rows give the
+Files with a null or empty text have no licence of their own; a null path inherits nothing. Very long texts are read whole. Of equal scores the first
+licence by name holds. An empty table gives an empty result. Repeated rows give the
 same row each. Only the id column is carried.
 """
 

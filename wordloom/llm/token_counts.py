@@ -9,7 +9,7 @@ Offline, from the vocabulary alone, three facts are proven:
 
 A pre-token from that set counts as one without any merging; only the rest is merged, once per distinct pre-token of a worker.
 
-Null and empty texts have no tokens. Repeated rows give repeated rows. Rows keep their ids, null ids included. Other columns of the
+Null and empty texts have no tokens; very long texts are counted whole. An empty table gives an empty result. Repeated rows give repeated rows. Rows keep their ids, null ids included. Other columns of the
 input are not carried, so their names cannot clash.
 """
 
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, blocks, texts
+from .common import blocks, texts
 
 MARK = "▁"
 #: Bytes of text that are split into pre-tokens at a time.
 BLOCK_BYTES = 4 << 20
+#: Pre-tokens whose counts a Python worker keeps, about.
+MEMO_LIMIT = 1 << 19
 
 
 def load(model: str):

@@ -34,7 +34,7 @@ LONG = 60
 EVIDENCE = 30
 BLOCK_BYTES = 2 << 20
 #: Words whose evidence a Python worker keeps, about, and words that it looks up in the lattice at a time.
-MEMO_LIMIT, AT_ONCE = 1 << 19, 20_000
+MEMO_LIMIT, AT_ONCE = 1 << 18, 5_000
 NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
 #: The same with numerals, which is much faster; what it finds is split by LETTERS once for each distinct word.
@@ -164,6 +164,10 @@ class Model:
 
     def _fresh(self) -> None:
         self.lattice = Lattice(self.pieces)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the memo, so that a reused Python worker doesn't hold it into the next stage."""
         self.memo: dict[str, int] = {}
         self.table = np.empty((0, len(self.langs) + 1))
 
@@ -178,7 +182,7 @@ class Model:
         """(log probability by language, words) of each text."""
         split = [RUNS.findall(x.lower()) for x in rows]
         if len(self.memo) > MEMO_LIMIT:
-            self.memo, self.table = {}, self.table[:0]
+            self.forget()
         new = sorted({w for x in split for w in x}.difference(self.memo))
         if new:
             self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
@@ -189,7 +193,12 @@ class Model:
             found[:, -1] = count
             for i in range(0, len(flat), AT_ONCE):
                 np.add.at(found[:, :-1], owner[i : i + AT_ONCE], self.lattice.forward(flat[i : i + AT_ONCE], self.p))
-            self.table = np.concatenate([self.table, found])
+            known = len(self.memo)
+            if known > len(self.table):  # more rows than are needed now: pages that aren't written to take no memory
+                table = np.empty((2 * known, len(self.langs) + 1))
+                table[: known - len(new)] = self.table[: known - len(new)]
+                self.table = table
+            self.table[known - len(new) : known] = found
         look = self.memo.__getitem__
         sums = [self.table[np.fromiter(map(look, w), np.int64, len(w))].sum(axis=0) for w in split]
         return [(x[:-1], int(x[-1])) for x in sums]
@@ -263,6 +272,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             found = model.predict(rows) if model else [("und", 0.0)] * len(rows)
             kept = [block.column(f"keep_{i}") for i in range(len(columns))]
             yield from pa.table([*kept, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*[f"keep_{i}" for i in range(len(columns))], "lang_pred", "score"]).to_batches()
+        if model:
+            model.forget()
 
     kinds = ", ".join(f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
     out = source.mapInArrow(trimmed(run), f"{kinds}, lang_pred string, score double")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, lean, materialise, settle, texts, trimmed
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BENCH_BYTES = 2 << 20
 #: Separators become spaces, A-Z become a-z, digits, a-z and bytes of non-ASCII characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

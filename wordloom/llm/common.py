@@ -214,6 +214,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 RK_BASE = 0x9E3779B97F4A7C15
+#: Windows that rolling() hashes at once.
+ROLL_STEP = 1 << 16
 
 
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,14 +233,19 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rolling(hashes: np.ndarray, width: int, base: int = RK_BASE) -> np.ndarray:
-    """Rabin-Karp hash of every window of width elements, from prefix sums modulo 2**64; element i is the window that starts at i."""
+    """Rabin-Karp hash of every window of width elements, from prefix sums modulo 2**64; element i is the window that starts at i.
+
+    Works in steps of ROLL_STEP windows: a hash doesn't depend on the place of its window, so the table of powers need not grow with the input.
+    """
     n = len(hashes)
-    if n < width:
-        return np.empty(0, np.uint64)
-    up, down = _powers(n, base)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * down, out=prefix[1:])
-    return mix((prefix[width:] - prefix[:-width]) * up[: n - width + 1])
+    out = np.empty(max(0, n - width + 1), np.uint64)
+    for at in range(0, len(out), ROLL_STEP):
+        part = hashes[at : at + ROLL_STEP + width - 1]
+        up, down = _powers(len(part), base)
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * down, out=prefix[1:])
+        out[at : at + ROLL_STEP] = mix((prefix[width:] - prefix[:-width]) * up[: len(part) - width + 1])
+    return out
 
 
 def window_hashes(rows: Iterable[list[bytes]], memo: WordHash, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

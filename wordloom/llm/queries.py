@@ -1,4 +1,4 @@
-"""The driver's queries op1 to op10 over the test tables, and their SQL where SQL can express them."""
+"""The driver's queries op1 to op13 over the test tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .fill_middle import fill_in_middle, restored
+from .hard_negatives import hard_negatives
 from .language import identify, train
 from .licenses import NOTICE, license_scan
 from .line_dedup import line_dedup
@@ -102,8 +104,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_documents(spark, sf_dir), width=3, num=90, den=100)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    done = restored(fill_in_middle(_documents(spark, sf_dir)))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_decontaminate, op4_substring_dedup, op5_quality_rules, op6_language, op7_line_dedup, op8_license_scan, op9_secret_scan, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_decontaminate, op4_substring_dedup, op5_quality_rules, op6_language, op7_line_dedup, op8_license_scan, op9_secret_scan, op10_ngram_jaccard, op12_hard_negatives, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:

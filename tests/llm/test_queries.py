@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_license_scan": ["doc_id", "path", "licence", "how", "score", "from_dir"],
     "op9_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model"],
     "op10_ngram_jaccard": ["doc_id", "n_shingles", "component_id"],
+    "op11_html_text": ["page_id", "url", "text", "n_chars"],
     "op12_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
     "op13_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .fill_middle import fill_in_middle, restored
 from .hard_negatives import hard_negatives
+from .html_text import main_text
 from .language import identify, train
 from .licenses import NOTICE, license_scan
 from .line_dedup import line_dedup
@@ -104,6 +105,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_documents(spark, sf_dir), width=3, num=90, den=100)
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"))
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
@@ -116,7 +121,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_decontaminate, op4_substring_dedup, op5_quality_rules, op6_language, op7_line_dedup, op8_license_scan, op9_secret_scan, op10_ngram_jaccard, op12_hard_negatives, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_decontaminate, op4_substring_dedup, op5_quality_rules, op6_language, op7_line_dedup, op8_license_scan, op9_secret_scan, op10_ngram_jaccard, op11_html_text, op12_hard_negatives, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import vectors as V
+from wordloom.operators.dominance import signed_sum
+from wordloom.operators.runs import label_runs
+from wordloom.session import ensure_checkpoint_dir
 
 
 def mean_similarity(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -39,17 +46,18 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Tau-b, exact: distinct (x, y) cells with their counts, compared cell by cell (a range join on x; quadratic in distinct cells)."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    a, b = cells.alias("a"), cells.alias("b")
-    across = a.join(b, F.expr("a.x < b.x"))
-    signed = across.agg(F.coalesce(F.sum(F.col("a.n") * F.col("b.n") * F.signum(F.col("b.y") - F.col("a.y"))), F.lit(0.0)).alias("s"))
-    ties = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"t{c}"))
-    total = cells.agg(F.sum("n").alias("m"))
-    one = signed.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(total)  # one row each
+    """Tau-b, exact: distinct (x, y) cells with their counts, whose concordant and discordant pairs are counted range by range (dominance.signed_sum).
+    Rows with a null or NaN take no part; decimals are compared as doubles."""
+    number = lambda c: F.col(c).cast("double") if dict(df.dtypes)[c].startswith("decimal") else F.col(c)
+    ensure_checkpoint_dir(df.sparkSession)
+    cells = df.select(number(x).alias("x"), number(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    cells = cells.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).checkpoint()
+    signed = F.lit(signed_sum(cells))
+    ties = lambda c: cells.groupBy(c).agg(F.sum("w").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"t{c}"))
+    one = ties("x").crossJoin(ties("y")).crossJoin(cells.agg(F.sum("w").alias("m")))  # one row each
     pairs = F.col("m") * (F.col("m") - 1) / 2
     bottom = F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))
-    return one.select(F.when(bottom > 0, F.col("s") / bottom).alias("kendall"))
+    return one.select(F.when(bottom > 0, signed / bottom).alias("kendall"))
 
 
 def adjusted_rand(df: DataFrame, truth: str, found: str) -> DataFrame:
@@ -65,26 +73,67 @@ def adjusted_rand(df: DataFrame, truth: str, found: str) -> DataFrame:
     return one.select(F.when(bottom == 0, F.lit(1.0)).otherwise(top / bottom).alias("ari"))
 
 
-def silhouette(df: DataFrame, key: str, vector: str, label: str, blocks: int = 8) -> DataFrame:
-    """Exact mean silhouette with Euclidean distances. Rows meet in blocks; a row keeps one sum a cluster, so nothing quadratic is stored."""
-    rows = df.select(F.col(key).alias("k"), F.transform(vector, lambda a: a.cast("double")).alias("v"), F.col(label).alias("l"))
-    left = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.select(F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block"), F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("l").alias("l2"))
-    sums = left.join(right, "block").where("k <> k2").groupBy("k", "l", "l2").agg(F.sum(V.euclid(F.col("v"), F.col("v2"))).alias("d"), F.count(F.lit(1)).alias("n"))
+#: Rows of a block of silhouette, and rows whose distances are taken at once.
+BLOCK, AT_ONCE = 2048, 256
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean, by a matrix product; the few that cancel too much of it once more by differences."""
+    aa, bb = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)[None, :]
+    square = aa + bb - 2 * (a @ b.T)
+    i, j = np.nonzero(square < 1e-3 * (aa + bb))
+    for at in range(0, len(i), 1 << 16):
+        p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        square[p, q] = ((a[p] - b[q]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def silhouette(df: DataFrame, key: str, vector: str, label: str, block: int = BLOCK) -> DataFrame:
+    """Exact mean silhouette with Euclidean distances. Rows are dealt to blocks by their keys (which are unique), and each pair of blocks is one tile: a
+    task's matrix products. A tile gives a row one sum for each label of the other block, so nothing quadratic is stored. Rows without a vector or label take no part."""
+    rows = df.select(F.col(key).alias("k"), F.transform(vector, lambda a: a.cast("double")).alias("v"), F.col(label).alias("l")).where("v IS NOT NULL AND l IS NOT NULL")
+    n = rows.count()
+    busy = math.ceil(2 * math.sqrt(df.sparkSession.sparkContext.defaultParallelism))
+    m = max(1, math.ceil(n / block), min(busy, math.ceil(n / AT_ONCE)))
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(m)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    tiles = dealt.withColumn("o", other).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") <= F.col("o")).alias("left"), "k", "l", "v")
+    kinds = {c: rows.schema[c].dataType for c in ("k", "l")}
+
+    def one_way(a: pa.Table, b: pa.Table, same: bool, schema: pa.Schema) -> pa.Table:
+        x, y = (np.stack(t.column("v").to_numpy(zero_copy_only=False)) for t in (a, b))
+        labels, code = np.unique(b.column("l").to_numpy(zero_copy_only=False), return_inverse=True)
+        member = np.zeros((len(y), len(labels)))
+        member[np.arange(len(y)), code] = 1
+        sums = np.concatenate([distances(x[at : at + AT_ONCE], y) @ member for at in range(0, len(x), AT_ONCE)])
+        counts = np.broadcast_to(member.sum(axis=0), sums.shape).copy()
+        if same:
+            counts[np.arange(len(x)), code] -= 1
+        at = np.repeat(np.arange(len(x)), len(labels))
+        return pa.table([a.column("k").take(at), a.column("l").take(at), pa.array(np.tile(labels, len(x)), schema.field("l2").type), pa.array(sums.ravel()), pa.array(counts.ravel().astype(np.int64))], schema=schema)
+
+    def tile(group: pa.Table) -> pa.Table:
+        schema = pa.schema([("k", group.schema.field("k").type), ("l", group.schema.field("l").type), ("l2", group.schema.field("l").type), ("d", pa.float64()), ("n", pa.int64())])
+        if group.column("i")[0].as_py() == group.column("j")[0].as_py():
+            return one_way(group, group, True, schema)
+        left = group.column("left")
+        a, b = group.filter(left), group.filter(pc.invert(left))
+        if not len(a) or not len(b):
+            return schema.empty_table()
+        return pa.concat_tables([one_way(a, b, False, schema), one_way(b, a, False, schema)])
+
+    out = f"k {kinds['k'].simpleString()}, l {kinds['l'].simpleString()}, l2 {kinds['l'].simpleString()}, d double, n long"
+    sums = tiles.repartition(m * (m + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(tile, out).groupBy("k", "l", "l2").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).where("n > 0")
     per = sums.groupBy("k").agg(F.max(F.when(F.col("l") == F.col("l2"), F.col("d") / F.col("n"))).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), F.col("d") / F.col("n"))).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return per.agg(F.avg(value).alias("silhouette"))
 
 
-def to_representative(df: DataFrame, order: str, vector: str, label: str) -> DataFrame:
+def to_representative(df: DataFrame, order: str, vector: str, label: str, parts: int | None = None) -> DataFrame:
     """One row: mean cosine and Euclidean distance of the members of clusters to the first row of their run of equal labels; divided by the
-    rows less the distinct labels."""
-    w = Window.orderBy(order)
-    runs = df.select(order, label, vector, F.lag(label).over(w).alias("__before"))
-    runs = runs.withColumn("__run", F.sum(F.when(F.col("__before").eqNullSafe(F.col(label)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    heads = runs.groupBy("__run").agg(F.min_by(vector, order).alias("__head"), F.min(order).alias("__first"))
-    members = runs.join(heads, "__run").where(F.col(order) != F.col("__first"))
-    sums = members.agg(F.sum(V.cosine(F.col(vector), F.col("__head"))).alias("c"), F.sum(V.euclid(F.col(vector), F.col("__head"))).alias("e"))
+    rows less the distinct labels. Runs come from a segmented scan (runs.label_runs)."""
+    runs = label_runs(df.select(order, label, vector), order, label, head=vector, parts=parts)
+    sums = runs.where("NOT first").agg(F.sum(V.cosine(F.col(vector), F.col("run_head"))).alias("c"), F.sum(V.euclid(F.col(vector), F.col("run_head"))).alias("e"))
     n = df.agg((F.count(F.lit(1)) - F.count_distinct(label)).alias("n"))
     return sums.crossJoin(n).select(F.try_divide("c", "n").alias("mean_cosine"), F.try_divide("e", "n").alias("mean_euclid"))  # one row each
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import metrics
+from wordloom.operators import metrics, splits
 from wordloom.operators.runs import label_runs
 from wordloom.plans.catalogue import query, read, rounded
 
@@ -40,3 +40,43 @@ def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many runs of equal event types have which length."""
     runs = label_runs(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type")
     return runs.groupBy("run").agg(F.count(F.lit(1)).alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("runs"))
+
+
+# ---- splits
+
+
+@query("SELECT quality, toxic, CAST(round(count(*) * 0.6) AS BIGINT) AS train, CAST(count(*) - round(count(*) * 0.6) AS BIGINT) AS test FROM labels GROUP BY 1, 2")
+def stratified_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each side of a stratified split."""
+    done = splits.stratified(read(spark, sf_dir, "labels"), ["quality", "toxic"], "doc_id")
+    return done.groupBy("quality", "toxic").agg(*[F.count_if(F.col("split") == x).alias(x) for x in ("train", "test")])
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), read(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id", "left").select("doc_id", "lang", "source", "quality", "toxic")
+
+
+_RATED = "(SELECT lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
+_BY_LABEL = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value, count(*) AS rows FROM {_RATED} WHERE {c} IS NOT NULL{where} GROUP BY {c}" for c, where in (("lang", ""), ("source", ""), ("quality", " AND quality <> 0"), ("toxic", " AND toxic <> 0")))
+
+
+@query(f"SELECT *, TRUE AS by_share FROM ({_BY_LABEL})")
+def multilabel_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's rows, and whether its share of the training side is 0.6, within 1 % of its rows or one row."""
+    done = splits.multilabel_stratified(_rated(spark, sf_dir), ["lang", "source", "quality", "toxic"], "doc_id")
+    feature = lambda c: F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
+    long = done.select("split", F.explode(F.array(*map(feature, ("lang", "source", "quality", "toxic")))).alias("x")).select("split", "x.*")
+    long = long.where("value IS NOT NULL AND NOT (feature IN ('quality', 'toxic') AND value = '0')")
+    by = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("split") == "train").alias("train"))
+    return by.select("feature", "value", "rows", (F.abs(F.col("train") - 0.6 * F.col("rows")) <= F.greatest(F.lit(1.0), 0.01 * F.col("rows"))).alias("by_share"))
+
+
+_LABEL_SETS = f"(SELECT lang, source, quality, toxic, count(*) AS rows FROM {_RATED} GROUP BY ALL)"
+
+
+@query(f"SELECT lang, source, quality, toxic, rows FROM {_LABEL_SETS}")
+def multilabel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each combination of labels over both sides of the split: none is lost or doubled."""
+    done = splits.multilabel_stratified(_rated(spark, sf_dir), ["lang", "source", "quality", "toxic"], "doc_id")
+    return done.groupBy("lang", "source", "quality", "toxic").agg(F.count_distinct("doc_id").alias("rows"))

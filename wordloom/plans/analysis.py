@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions import stages, tables
 from wordloom.operators import metrics, splits
 from wordloom.operators.runs import label_runs
-from wordloom.plans.catalogue import query, read, rounded
+from wordloom.plans.catalogue import ORACLES, PREFIX_CASE, PREFIXES, SUFFIX_CASE, SUFFIXES, WORDS, flat_text, literal, query, read, rounded
 
 # ---- ranks and runs
 
@@ -80,3 +83,59 @@ def multilabel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each combination of labels over both sides of the split: none is lost or doubled."""
     done = splits.multilabel_stratified(_rated(spark, sf_dir), ["lang", "source", "quality", "toxic"], "doc_id")
     return done.groupBy("lang", "source", "quality", "toxic").agg(F.count_distinct("doc_id").alias("rows"))
+
+
+# ---- composed stages and table functions
+
+
+@query(
+    """SELECT doc_id, list_transform(range(0, CAST(len(w) AS BIGINT), 7), lambda i: array_to_string(w[i + 1 : i + 7], '_')) AS groups
+    FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \n\t]+'), lambda x: x NOT IN ('', 'the', 'de')) AS w FROM documents)"""
+)
+def staged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline of stages: split, drop words, fill groups of seven, whose rest comes at the end."""
+    run = stages.composed(lambda: stages.Each(re.compile("[ \n\t]+").split), lambda: stages.Drop(["", "the", "de"]), lambda: stages.Fill(7, "_"))
+    return read(spark, sf_dir, "documents").select("doc_id", run(F.col("text")).alias("groups"))
+
+
+_AFFIXES = f"array({', '.join(map(literal, PREFIXES))}), array({', '.join(map(literal, SUFFIXES))})"
+
+
+def _with_tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    tables.register(spark)
+    for name in names:
+        read(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+@query(ORACLES["stem_freq"])
+def vocab_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary's frequencies in SQL, by the table function that counts within a task."""
+    flat_text(spark, sf_dir).createOrReplaceTempView("flat_documents")
+    _with_tables(spark, sf_dir)
+    return spark.sql(f"SELECT kind, token, sum(freq) AS freq FROM vocab_counts(TABLE(SELECT text FROM flat_documents), {_AFFIXES}) GROUP BY kind, token")
+
+
+@query(
+    f"""SELECT lang, kind, token, count(*) AS freq FROM (UNPIVOT (SELECT lang, suffix, prefix, substr(rest, length(prefix) + 1) AS root FROM (SELECT *, CASE {PREFIX_CASE} ELSE '' END AS prefix FROM
+    (SELECT lang, word, suffix, substr(word, 1, length(word) - length(suffix)) AS rest FROM (SELECT lang, word, CASE {SUFFIX_CASE} ELSE '' END AS suffix FROM {WORDS} WHERE length(word) <= 30)))) ON prefix, root, suffix INTO NAME kind VALUE token)
+    WHERE token <> '' GROUP BY ALL"""
+)
+def vocab_udtf_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by language, by the table function that gives a row a word, joined laterally."""
+    flat_text(spark, sf_dir).createOrReplaceTempView("flat_documents")
+    _with_tables(spark, sf_dir)
+    return spark.sql(
+        f"""SELECT lang, kind, token, count(*) AS freq FROM (
+            SELECT lang, stack(3, 'prefix', prefix, 'root', root, 'suffix', suffix) AS (kind, token) FROM flat_documents, LATERAL vocab_words(text, {_AFFIXES}, false))
+        WHERE token <> '' GROUP BY lang, kind, token"""
+    )
+
+
+@query(
+    """SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, n AS words, CAST(sum(n) OVER w AS BIGINT) AS words_so_far, lag(role) OVER w AS after
+    FROM (SELECT *, len(string_split(text, ' ')) AS n FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
+)
+def turns_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations read turn by turn: a table function with PARTITION BY and ORDER BY."""
+    _with_tables(spark, sf_dir, "conversations")
+    return spark.sql("SELECT * FROM turns(TABLE(SELECT conv_id, turn, role, text FROM conversations) PARTITION BY conv_id ORDER BY turn)")

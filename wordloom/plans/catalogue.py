@@ -110,10 +110,10 @@ def rows_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.rows_per_file(read(spark, sf_dir, "documents"))
 
 
-_SUFFIX = " ".join(f"WHEN suffix(word, {literal(x)}) THEN {literal(x)}" for x in sorted(SUFFIXES, key=lambda x: (-len(x), x)))
-_PREFIX = " ".join(f"WHEN prefix(rest, {literal(x)}) THEN {literal(x)}" for x in sorted(PREFIXES, key=lambda x: (-len(x), x)))
-_STEMS = f"""(SELECT suffix, prefix, substr(rest, length(prefix) + 1) AS root FROM (SELECT *, CASE {_PREFIX} ELSE '' END AS prefix FROM
-    (SELECT word, suffix, substr(word, 1, length(word) - length(suffix)) AS rest FROM (SELECT word, CASE {_SUFFIX} ELSE '' END AS suffix FROM {WORDS} WHERE length(word) <= 30))))"""
+SUFFIX_CASE = " ".join(f"WHEN suffix(word, {literal(x)}) THEN {literal(x)}" for x in sorted(SUFFIXES, key=lambda x: (-len(x), x)))
+PREFIX_CASE = " ".join(f"WHEN prefix(rest, {literal(x)}) THEN {literal(x)}" for x in sorted(PREFIXES, key=lambda x: (-len(x), x)))
+_STEMS = f"""(SELECT suffix, prefix, substr(rest, length(prefix) + 1) AS root FROM (SELECT *, CASE {PREFIX_CASE} ELSE '' END AS prefix FROM
+    (SELECT word, suffix, substr(word, 1, length(word) - length(suffix)) AS rest FROM (SELECT word, CASE {SUFFIX_CASE} ELSE '' END AS suffix FROM {WORDS} WHERE length(word) <= 30))))"""
 
 
 @query(f"SELECT kind, token, count(*) AS freq FROM (UNPIVOT {_STEMS} ON prefix, root, suffix INTO NAME kind VALUE token) WHERE token <> '' GROUP BY 1, 2")

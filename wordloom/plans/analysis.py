@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import stages, tables
-from wordloom.operators import metrics, splits
+from wordloom.operators import metrics, morphology, splits
 from wordloom.operators.runs import label_runs
-from wordloom.plans.catalogue import ORACLES, PREFIX_CASE, PREFIXES, SUFFIX_CASE, SUFFIXES, WORDS, flat_text, literal, query, read, rounded
+from wordloom.plans.catalogue import ORACLES, PREFIX_CASE, PREFIXES, SUFFIX_CASE, SUFFIXES, WORDS, annotated_turns, flat_text, literal, query, read, rounded
+from wordloom.session import ensure_checkpoint_dir
+from wordloom.streaming import recorders, stateful, streams
 
 # ---- ranks and runs
 
@@ -139,3 +142,39 @@ def turns_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations read turn by turn: a table function with PARTITION BY and ORDER BY."""
     _with_tables(spark, sf_dir, "conversations")
     return spark.sql("SELECT * FROM turns(TABLE(SELECT conv_id, turn, role, text FROM conversations) PARTITION BY conv_id ORDER BY turn)")
+
+
+# ---- streams with state
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(ORACLES["sentence_lengths"])
+def stream_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of the sentences of a stream whose lines come in two parts, cut within the second turn of each conversation; what a part leaves open
+    waits in the state."""
+    at = folder(spark, "lines")
+    lines = annotated_turns(spark, sf_dir)
+    for part in ("pos < 100003", "pos >= 100003"):
+        lines.where(part).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
+        with stateful.state_store(spark):
+            streams.write_batches(stateful.sentence_stream(stream), f"{at}/out", f"{at}/checkpoint", lambda x: x).awaitTermination()
+    done = spark.read.parquet(f"{at}/out").select("words").union(stateful.open_sentences(spark, f"{at}/checkpoint").select("words"))
+    return morphology.sentence_lengths(done).select(F.col("length").cast("long").alias("length"), "sentences")
+
+
+@query("SELECT round(avg(value), 6) AS loss, CAST(count(*) AS DOUBLE) AS rows FROM events WHERE value IS NOT NULL")
+def recorded_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the losses that a recorder kept of each batch of a stream, weighted by the batches' rows."""
+    at = folder(spark, "losses")
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
+    seen = recorders.feature_losses(stream.where("value IS NOT NULL").withColumn("n", F.lit(1)), "training", {"value": "value"})
+    with recorders.Recorder(spark, f"{at}/table", ["training"]) as recorder:
+        streams.write_batches(seen, f"{at}/out", f"{at}/checkpoint", lambda batch: batch.select("event_id")).awaitTermination()
+    by = recorder.table().groupBy("batch").pivot("metric", ["total loss", "rows"]).agg(F.max("value"))
+    return rounded(metrics.weighted_loss(by, "total loss", "rows").crossJoin(by.agg(F.sum("rows").alias("rows"))))  # one row each

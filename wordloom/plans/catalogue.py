@@ -13,7 +13,7 @@ from wordloom.functions import text as X
 from wordloom.functions import vectors as V
 from wordloom.functions.charset import PAD, SAMPLE_RANGES, SPECIAL, UNKNOWN, CharTable
 from wordloom.operators import duplicates, metrics, models, morphology, splits, words
-from wordloom.streaming import streams
+from wordloom.streaming import stateful, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -309,7 +309,7 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.distinct_values(read(spark, sf_dir, "documents"), ["lang", "source"])
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annotated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as annotated lines: a word a line, tagged by its first letter's case, a comment before each turn."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.split("text", r"[ \n\t]+"), lambda x: x != "").alias("w"))
     tag = lambda x: F.when(x.rlike("^[A-Z]"), "UP").otherwise("LOW")
@@ -318,22 +318,22 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("value", F.col("conv_id").alias("file"), (F.col("turn") * 100_000 + F.col("i")).alias("pos"))
 
 
-_TURNS = r"(SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \n\t]+'), lambda x: x <> '') AS w FROM conversations)"
+TURNS = r"(SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \n\t]+'), lambda x: x <> '') AS w FROM conversations)"
 
 
-@query(f"SELECT len(w) AS length, count(*) AS sentences FROM {_TURNS} WHERE len(w) > 0 GROUP BY 1")
+@query(f"SELECT len(w) AS length, count(*) AS sentences FROM {TURNS} WHERE len(w) > 0 GROUP BY 1")
 def sentence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morphology.sentence_lengths(morphology.sentences(_turns(spark, sf_dir))).select(F.col("length").cast("long").alias("length"), "sentences")
+    return morphology.sentence_lengths(morphology.sentences(annotated_turns(spark, sf_dir))).select(F.col("length").cast("long").alias("length"), "sentences")
 
 
-@query(f"SELECT CASE WHEN regexp_matches(x, '^[A-Z]') THEN 'UP' ELSE 'LOW' END AS tag, count(*) AS count FROM (SELECT unnest(w) AS x FROM {_TURNS}) GROUP BY 1")
+@query(f"SELECT CASE WHEN regexp_matches(x, '^[A-Z]') THEN 'UP' ELSE 'LOW' END AS tag, count(*) AS count FROM (SELECT unnest(w) AS x FROM {TURNS}) GROUP BY 1")
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morphology.tag_counts(morphology.sentences(_turns(spark, sf_dir)))
+    return morphology.tag_counts(morphology.sentences(annotated_turns(spark, sf_dir)))
 
 
-@query(f"SELECT count(*) AS sentences, CAST(sum(len(w)) AS BIGINT) AS words, round(avg(len(w)), 6) AS mean_words FROM {_TURNS} WHERE len(w) > 0")
+@query(f"SELECT count(*) AS sentences, CAST(sum(len(w)) AS BIGINT) AS words, round(avg(len(w)), 6) AS mean_words FROM {TURNS} WHERE len(w) > 0")
 def tag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morphology.tag_summary(morphology.sentences(_turns(spark, sf_dir))).withColumn("mean_words", F.round("mean_words", 6))
+    return morphology.tag_summary(morphology.sentences(annotated_turns(spark, sf_dir))).withColumn("mean_words", F.round("mean_words", 6))
 
 
 # ---- character ids
@@ -513,8 +513,9 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT word, lang AS label, count(*) AS freq FROM (SELECT lang, unnest(string_split_regex(text, ' +')) AS word FROM documents) WHERE length(word) <= 30 GROUP BY 1, 2")
 def stream_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running word counts over the documents as a stream of files."""
+    """Running word counts over the documents as a stream of files, kept as a table in the shared folder."""
     schema = read(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/documents.parquet*")
-    streams.start_memory(streams.running_counts(stream, label="lang"), "stream_word_counts").awaitTermination()
-    return spark.table("stream_word_counts")
+    counts = stateful.MergedCounts(spark, ["word", "label"], "freq")
+    counts.start(streams.running_counts(stream, label="lang"), f"{counts.path}-checkpoint").awaitTermination()
+    return counts.read()

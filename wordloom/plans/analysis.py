@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import stages, tables
-from wordloom.operators import metrics, morphology, splits
+from wordloom.functions.wikitext import plain_text
+from wordloom.operators import metrics, morphology, sentences, splits
 from wordloom.operators.runs import label_runs
 from wordloom.plans.catalogue import ORACLES, PREFIX_CASE, PREFIXES, SUFFIX_CASE, SUFFIXES, WORDS, annotated_turns, flat_text, literal, query, read, rounded
 from wordloom.session import ensure_checkpoint_dir
@@ -178,3 +179,49 @@ def recorded_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
         streams.write_batches(seen, f"{at}/out", f"{at}/checkpoint", lambda batch: batch.select("event_id")).awaitTermination()
     by = recorder.table().groupBy("batch").pivot("metric", ["total loss", "rows"]).agg(F.max("value"))
     return rounded(metrics.weighted_loss(by, "total loss", "rows").crossJoin(by.agg(F.sum("rows").alias("rows"))))  # one row each
+
+
+# ---- sentences and mark-up
+
+
+_BARE = f"regexp_replace(regexp_replace(t, {literal('^[' + re.escape(sentences.OPENING) + ']+')}, ''), {literal('[,;:' + re.escape(sentences.CLOSING) + ']+$')}, '')"
+_KINDS = f"""(SELECT CASE WHEN regexp_matches(k, '^[-+]?[0-9][0-9.,]*$') THEN '##' ELSE k END AS word, s FROM (SELECT CASE WHEN s THEN left(lower(b), length(b) - 1) ELSE regexp_replace(lower(b), '[!?؟…]+$', '') END AS k, s
+    FROM (SELECT b, regexp_matches(b, '[^.][.]$') AS s FROM (SELECT {_BARE} AS b FROM (SELECT unnest(string_split_regex(text, '[ \t\n\x0B\f\r]+')) AS t FROM documents) WHERE t <> ''))))"""
+_STOPS = f"(SELECT word, count(*) FILTER (s) AS with_stop, count(*) FILTER (NOT s) AS without FROM {_KINDS} WHERE word <> '' GROUP BY word)"
+
+
+@query(f"SELECT word, with_stop, without FROM {_STOPS}")
+def stop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each kind of word stands before a full stop and not: what abbreviations are learned from."""
+    return sentences.stop_counts(read(spark, sf_dir, "documents"))
+
+
+@query(
+    f"""SELECT word, with_stop, without, round(-2 * (k * ln(p) + CASE WHEN n > k THEN (n - k) * ln(1 - p) ELSE 0 END - k * ln(0.99::DOUBLE) - (n - k) * ln(0.01::DOUBLE)) * exp(-letters) * (dots + 1) * pow(letters, k - n), 6) + 0.0 AS score
+    FROM (SELECT *, with_stop::DOUBLE AS k, (with_stop + without)::DOUBLE AS n, length(word) - length(replace(word, '.', '')) AS dots, length(replace(word, '.', ''))::DOUBLE AS letters FROM {_STOPS}),
+    (SELECT sum(with_stop)::DOUBLE / sum(with_stop + without)::DOUBLE AS p FROM {_STOPS}) WHERE with_stop > 0 AND regexp_matches(word, '\\p{{L}}')"""
+)
+def abbreviation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each word behaves like an abbreviation."""
+    scores = sentences.abbreviation_scores(sentences.stop_counts(read(spark, sf_dir, "documents")))
+    return scores.withColumn("score", F.round("score", 6) + 0.0)  # no minus zero
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM documents")
+def learned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into sentences by rules learned from all of them, and put together again."""
+    docs = read(spark, sf_dir, "documents")
+    cut = docs.select("doc_id", sentences.cut_sentences(F.col("text"), sentences.learn(docs)).alias("s"))
+    return cut.select("doc_id", F.regexp_replace(F.array_join("s", " "), "\\s+", " ").alias("text"))
+
+
+_LETTER_WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
+
+
+@query(f"SELECT doc_id, array_to_string({_LETTER_WORDS}, ' ') AS text FROM documents")
+def wiki_markup_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents, wrapped in nested templates, tables, links, files, notes and quotes, and read back from the mark-up."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    wraps = [("[[Some page|", "]]"), ("'''", "'''"), ("{{box|{{inner|x}}|{{{1|y}}}}}", ""), ("", "<ref>see {{cite|[[z]]}}</ref>"), ("[[File:p.jpg|thumb|A [[q|caption]]]]", "<!-- {{ -->"), ("{|\n| {{t}}\n{|\n|}\n|}", ""), ("[http://example.com/a ", "]"), ("''", "''")]
+    wrapped = F.transform(words, lambda w, i: F.element_at(F.array(*[F.concat(F.lit(a), w, F.lit(b)) for a, b in wraps]), (i % len(wraps) + 1).cast("int")))
+    return read(spark, sf_dir, "documents").select("doc_id", plain_text(F.array_join(wrapped, " ")).alias("text"))

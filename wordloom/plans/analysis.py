@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import stages, tables
 from wordloom.functions.wikitext import plain_text
-from wordloom.operators import metrics, morphology, sentences, splits
+from wordloom.operators import blocks, metrics, morphology, sentences, splits
 from wordloom.operators.runs import label_runs
 from wordloom.plans.catalogue import ORACLES, PREFIX_CASE, PREFIXES, SUFFIX_CASE, SUFFIXES, WORDS, annotated_turns, flat_text, literal, query, read, rounded
 from wordloom.session import ensure_checkpoint_dir
@@ -225,3 +225,21 @@ def wiki_markup_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     wraps = [("[[Some page|", "]]"), ("'''", "'''"), ("{{box|{{inner|x}}|{{{1|y}}}}}", ""), ("", "<ref>see {{cite|[[z]]}}</ref>"), ("[[File:p.jpg|thumb|A [[q|caption]]]]", "<!-- {{ -->"), ("{|\n| {{t}}\n{|\n|}\n|}", ""), ("[http://example.com/a ", "]"), ("''", "''")]
     wrapped = F.transform(words, lambda w, i: F.element_at(F.array(*[F.concat(F.lit(a), w, F.lit(b)) for a, b in wraps]), (i % len(wraps) + 1).cast("int")))
     return read(spark, sf_dir, "documents").select("doc_id", plain_text(F.array_join(wrapped, " ")).alias("text"))
+
+
+# ---- matrices
+
+
+_CENTRED = "(SELECT vec_id, list_transform(range(0, 64), lambda i: v[i + 1] - m[i + 1]) AS c FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(embedding[i + 1]::DOUBLE) AS a FROM embeddings, range(64) t(i) GROUP BY i)))"
+
+
+@query(f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(c[i + 1] * c[j + 1]), 6) + 0.0 AS value FROM {_CENTRED}, range(64) a(i), range(64) b(j) GROUP BY ALL")
+def scatter_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the embedding's entries around their means: what the reductions of blocks are made of."""
+    done = blocks.scatter(read(spark, sf_dir, "embeddings"), "embedding")
+    return done.withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query("SELECT CAST(i AS INT) AS place, list(CAST(embedding[i + 1] AS DOUBLE) ORDER BY vec_id) AS vector FROM embeddings, range(64) t(i) GROUP BY i")
+def transposed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.transpose(read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda a: a.cast("double")).alias("v")), "vec_id", "v")

@@ -134,21 +134,26 @@ def trimmed(run: Run) -> Run:
     return inner
 
 
-#: Values of a label that a sample is drawn for, at most.
+#: Values of a label whose shares are written into the plan; beyond it the rows are joined with the shares.
 MOST_GROUPS = 4096
 
 
 def bounded_sample(rows: DataFrame, by: str, text: str, salt: str, most: int, most_bytes: int) -> DataFrame:
-    """(by, text) of at most `most` different rows for each value of `by` (few values), and of not much more than most_bytes of text, in the
-    order of a hash of the whole row. Rows first pass a share by hash that leaves some four times as many, so that little is sorted."""
-    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).limit(MOST_GROUPS + 1).collect()
-    if len(sizes) > MOST_GROUPS:
-        raise ValueError(f"{by} has more than {MOST_GROUPS} values")
-    if not sizes:
-        return rows.select(by, text)
-    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes) for x in (k, min(1.0, 4 * most / n))])
+    """(by, text) of at most `most` different rows for each value of `by`, and of not much more than most_bytes of text, in the order of a hash of the
+    whole row. Rows first pass a share by hash that leaves some four times as many different ones, so that little is sorted; a value with
+    no more different rows than that passes whole, however often they are repeated."""
     order = F.xxhash64(*rows.columns, F.lit(salt))
-    near = rows.withColumn("__order", order).where(F.col("__order") / 2.0**64 + 0.5 <= F.element_at(share, F.col(by)))
+    hashed = rows.withColumn("__order", order)
+    sizes = hashed.groupBy(by).agg(F.approx_count_distinct("__order").cast("double").alias("__n"))  # sketches, a few KB a value
+    shares = sizes.select(F.col(by).alias("__by"), F.least(F.lit(1.0), F.lit(4.0 * most) / F.greatest("__n", F.lit(1.0))).alias("__share"))
+    known = shares.limit(MOST_GROUPS + 1).collect()
+    if not known:
+        return rows.select(by, text)
+    if len(known) <= MOST_GROUPS:
+        share = F.element_at(F.create_map(*[F.lit(x) for r in sorted(known, key=lambda r: str(r["__by"])) for x in (r["__by"], r["__share"])]), F.col(by))
+    else:
+        hashed, share = hashed.join(shares, F.col(by) == F.col("__by")), F.col("__share")
+    near = hashed.where(F.col("__order") / 2.0**64 + 0.5 <= share)
     once = near.groupBy(by, "__order").agg(F.first(text).alias(text))  # however often a row is repeated
     up = Window.partitionBy(by).orderBy("__order")
     ranked = once.withColumn("__k", F.row_number().over(up)).withColumn("__upto", F.sum(F.octet_length(text)).over(up) - F.octet_length(text))

@@ -85,7 +85,7 @@ def text_vectors() -> tuple[list[tuple[str, str, str, float]], list[tuple[str, f
 def units(files: DataFrame) -> DataFrame:
     """key and unit: the texts of files (key, text) with a notice, and of each the runs of neighbouring paragraphs with one. A paragraph ends at a
     line without letters or digits and where comment lines begin or end."""
-    held = files.where(F.col("text").rlike(NOTICE))
+    held = files.where(F.col("text").rlike(NOTICE)).groupBy("key").agg(F.first("text").alias("text"))  # a repeated row's lines count once
     lines = held.select("key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("kind", F.when(F.col("line").rlike("[A-Za-z0-9]"), F.col("line").rlike(COMMENT)))
     by_pos = Window.partitionBy("key").orderBy("pos")

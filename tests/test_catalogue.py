@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from wordloom.plans import analysis, roundtrips  # noqa: F401  (they add their queries)
+from wordloom.plans import analysis, coverage, roundtrips  # noqa: F401  (they add their queries)
 from wordloom.plans.catalogue import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

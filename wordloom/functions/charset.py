@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .exact import APART, SELECTOR
@@ -63,6 +63,14 @@ class CharTable:
         x = json.loads(text)
         return CharTable(tuple(map(tuple, x["ranges"])), x["singles"], x["width"])
 
+    def save(self, spark: SparkSession, path: str, mode: str = "error") -> None:
+        """The table as a folder with one line of JSON, in whatever store Spark writes to."""
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode(mode).text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> CharTable:
+        return CharTable.from_json(spark.read.text(path, wholetext=True).where("trim(value) <> ''").first().value)
+
     def _piecewise(self, value: Column, cases: list[tuple[Column, Column]], default: Column) -> Column:
         out = None
         for when, then in cases:

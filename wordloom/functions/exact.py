@@ -16,38 +16,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import LENGTHENING, MARKS_FIRST, MARKS_LAST, SIMILAR, WORD_ENTITIES
+from .text import moses_french as plain_moses_french
 
 # Emoticons (each ends with a space) and the emoji they stand for.
 EMOTICONS = {
-    "🙂": (":-) ", ":) ", ":-)) ", ":)) "),
-    "😀": (":‑D ", ":D ", ":‑d ", ":d "),
-    "😆": ("x‑D ", "X‑D ", "xD ", "XD "),
-    "🙁": (":‑( ", ":( "),
-    "😂": (':"‑) ', ':") '),
-    "😠": (">:( ",),
-    "😮": (":-O ", ":-o ", ":O ", ":o "),
-    "😸": (":‑3 ", ":3 "),
-    "😾": (">:‑3 ", ">:3 "),
-    "😗": (":-* ", ":* ", ":x "),
-    "😉": (";-) ", ";) ", ";‑) ", "*-) ", "*) "),
-    "😜": (";-P ", ";P ", ";-D ", ";D "),
-    "😝": (":-P ", ":P ", ":-p ", ":p "),
-    "😕": (":/ ", ":-/ "),
-    "😐": (":| ", ":-| "),
-    "😳": (":$ ", "(O_O) ", "(o_o) ", "O_O ", "o_o "),
-    "😔": ("://) ",),
-    "😖": ("://3 ",),
-    "🤐": (":-X ", ":X ", ":-# ", ":# "),
-    "😇": ("O:-) ", "O:) "),
-    "😈": (">:‑) ", "3:‑) ", "3:) "),
-    "😎": ("B-) ", "|:) "),
-    "❤️": ("<3 ",),
-    "💔": ("</3 ", "<\x03 "),
-    "😣": ("(>_<) ", ">_< "),
-    "😵": ("(X_X) ", "(x_x) ", "X_X ", "x_x "),
-    "😄": ("^^ ", "(^^) ", "^_^ ", "(^_^) "),
-    "😅": ("^^; ", "(^^;) ", "^_^; ", "(^_^;) "),
-}
+    ":-) ": "🙂", ":) ": "🙂", ":-)) ": "🙂", ":)) ": "🙂",
+    ":‑D ": "😀", ":D ": "😀", ":‑d ": "😀", ":d ": "😀",
+    "x‑D ": "😆", "X‑D ": "😆", "xD ": "😆", "XD ": "😆",
+    ":‑( ": "🙁", ":( ": "🙁",
+    ':"‑) ': "😂", ':") ': "😂",
+    ">:( ": "😠",
+    ":-O ": "😮", ":-o ": "😮", ":O ": "😮", ":o ": "😮",
+    ":‑3 ": "😸", ":3 ": "😸",
+    ">:‑3 ": "😾", ">:3 ": "😾",
+    ":-* ": "😗", ":* ": "😗", ":x ": "😗",
+    ";-) ": "😉", ";) ": "😉",
+    ";-P ": "😜", ";P ": "😜", ";-D ": "😜", ";D ": "😜",
+    ";‑) ": "😉", "*-) ": "😉", "*) ": "😉",
+    ":-P ": "😝", ":P ": "😝", ":-p ": "😝", ":p ": "😝",
+    ":/ ": "😕", ":-/ ": "😕",
+    ":| ": "😐", ":-| ": "😐",
+    ":$ ": "😳",
+    "://) ": "😔",
+    "://3 ": "😖",
+    ":-X ": "🤐", ":X ": "🤐", ":-# ": "🤐", ":# ": "🤐",
+    "O:-) ": "😇", "O:) ": "😇",
+    ">:‑) ": "😈", "3:‑) ": "😈", "3:) ": "😈",
+    "B-) ": "😎", "|:) ": "😎",
+    "<3 ": "❤️", "</3 ": "💔", "<\x03 ": "💔",
+    "(>_<) ": "😣", ">_< ": "😣",
+    "(X_X) ": "😵", "(x_x) ": "😵", "X_X ": "😵", "x_x ": "😵",
+    "(O_O) ": "😳", "(o_o) ": "😳", "O_O ": "😳", "o_o ": "😳",
+    "^^ ": "😄", "(^^) ": "😄", "^_^ ": "😄", "(^_^) ": "😄",
+    "^^; ": "😅", "(^^;) ": "😅", "^_^; ": "😅", "(^_^;) ": "😅",
+}
 
 # Blocks of symbols, and punctuation that stands apart from words.
 SYMBOL_RANGES = ((9984, 10175), (128512, 128591), (9728, 9983), (127744, 128511), (129648, 129782), (129280, 129535), (8192, 8303), (128640, 128764), (127232, 127487), (65039, 65039))
@@ -55,8 +57,7 @@ APART = "°\n!\"<>$%=&':()*+-,;[]^`{\\|}~/?؛،؟"
 FLAG_LETTERS, SKIN_TONES = (127462, 127487), (127995, 127999)
 JOINER, SELECTOR = "‍", "️"
 
-_MEANING = {text: emoji for emoji, texts in EMOTICONS.items() for text in texts}
-_PREFIXES = {text[:n] for text in _MEANING for n in range(1, len(text) + 1)}
+_PREFIXES = {text[:n] for text in EMOTICONS for n in range(1, len(text) + 1)}
 _SIMILAR = str.maketrans({c: group[0] for group in SIMILAR for c in group[1:]})
 _MARKS = {*map(chr, range(MARKS_FIRST, MARKS_LAST + 1)), chr(LENGTHENING)}
 _ENTITIES = [(re.compile(p), name) for p, name in WORD_ENTITIES]
@@ -75,8 +76,8 @@ def emoticons(elements: Iterable[str]) -> list[str]:
                 out.append(e)
                 continue
         read += e
-        if read in _MEANING:
-            meaning, rest = _MEANING[read], []
+        if read in EMOTICONS:
+            meaning, rest = EMOTICONS[read], []
         else:
             rest.append(e)
     return out + ([meaning, *rest] if meaning else rest)
@@ -236,7 +237,7 @@ def preprocess(text: str, emoticon: bool = True, similar: bool = True, char_dup:
 
 #: Parts and tokens whose results a Python worker keeps, at most; it starts anew beyond.
 MEMO_LIMIT = 1 << 17
-_EMOTICON = re.compile("|".join(re.escape(x) for x in sorted(_MEANING, key=len, reverse=True)))
+_EMOTICON = re.compile("|".join(re.escape(x) for x in sorted(EMOTICONS, key=len, reverse=True)))
 _REPEATS = re.compile(r"([^0-9])\1{2,}", re.DOTALL)
 
 
@@ -324,6 +325,32 @@ def nfc(text: Column) -> Column:
     return _strings(lambda x: unicodedata.normalize("NFC", x))(text)
 
 
+def moses_french(text: Column) -> Column:
+    """text.moses_french of the normal form C."""
+    return plain_moses_french(nfc(text))
+
+
+def compared_starts(pieces: Column, words: Column, normalise: Callable[[str], str] = str.lower) -> Column:
+    """Booleans: does a piece begin the next word? Words are taken one after another; a piece (without its </w>) that the normalised word begins with, or an
+    unknown one, begins it. Pieces after the last word begin none. A null on either side gives null."""
+
+    @F.pandas_udf("array<boolean>")
+    def run(p: pd.Series, w: pd.Series) -> pd.Series:
+        def starts(own: list[str] | None, text: list[str] | None) -> list[bool] | None:
+            if own is None or text is None:
+                return None
+            out, at = [], 0
+            for piece in own:
+                hit = at < len(text) and (piece == "<unk>" or normalise(text[at]).startswith(piece.removesuffix("</w>")))
+                out.append(hit)
+                at += hit
+            return out
+
+        return pd.Series([starts(a, b) for a, b in zip(p, w, strict=True)], dtype=object)
+
+    return run(pieces, words)
+
+
 def preprocess_tokens(text: Column, **stages) -> Column:
     """preprocess as a column of token arrays."""
 

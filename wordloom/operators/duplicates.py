@@ -12,9 +12,11 @@ from wordloom.functions import text as X
 
 def keep_last(df: DataFrame, subset: list[str], order: str | Column) -> DataFrame:
     """Of rows that agree in subset, the last by order stays. An aggregate with map-side combination rather than a window: a value
-    that a third of all rows share is not sorted in one task. A null order comes before all others."""
+    that a third of all rows share is not sorted in one task. A null order comes before all others; rows of equal order are decided by their other columns
+    (those that can be ordered), so that reruns agree."""
     key = F.col(order) if isinstance(order, str) else order
-    last = df.groupBy(*subset).agg(F.max_by(F.struct(*df.columns), F.struct(key.isNotNull(), key)).alias("row"))
+    others = [F.col(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    last = df.groupBy(*subset).agg(F.max_by(F.struct(*df.columns), F.struct(key.isNotNull(), key, *others)).alias("row"))
     return last.select("row.*")
 
 

@@ -149,6 +149,26 @@ def heads(classes: int) -> str:
     return "binary" if classes == 2 else "multiclass"
 
 
+def encode_sequences(df: DataFrame, column: str, load: Callable[[], Callable[[list], np.ndarray]], length: int, name: str = "embeddings", batch: int = 256) -> DataFrame:
+    """Inference word by word: df with `name`, the vectors of the first `length` words of an array column, padded with zero vectors to `length`, and
+    `name`_mask, 1 for words and 0 for padding. load() is as for encode; a batch's distinct words are encoded once. A null array is all padding."""
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], f"`{name}` array<array<float>>", f"`{name}_mask` array<int>"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for part in batches:
+            for i in range(0, len(part), batch):
+                rows = part.iloc[i : i + batch]
+                words = [[] if w is None else list(w)[:length] for w in rows[column]]
+                known = sorted({w for ws in words for w in ws if w is not None})
+                vectors = dict(zip(known, np.asarray(model(known), np.float32), strict=True)) if known else {}
+                zero = np.zeros(len(next(iter(vectors.values()))) if vectors else 0, np.float32)
+                out = [[vectors.get(w, zero) for w in ws] + [zero] * (length - len(ws)) for ws in words]
+                yield rows.assign(**{name: out, f"{name}_mask": [[1] * len(ws) + [0] * (length - len(ws)) for ws in words]})
+
+    return df.mapInPandas(run, schema)
+
+
 def encode(df: DataFrame, column: str, load: Callable[[], Callable[[list], np.ndarray]], name: str = "embedding", batch: int = 256) -> DataFrame:
     """Inference hook: load() gives a function from a list of values to a matrix, once for each Python worker; batches stay lazy."""
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], f"`{name}` array<float>"])

@@ -64,6 +64,22 @@ def lookup(df: DataFrame, key: str, dimension: DataFrame, strict: bool = True) -
     return joined
 
 
+def possession_tags() -> list[str]:
+    """Tags of possession by person, number and kind, as the schema builds them."""
+    kinds = {"1S": "", "1D": "EI", "1P": "EI", "2S": "FM", "2D": "FM", "2P": "FM", "3S": "FM", "3D": "FM", "3P": "FM"}
+    return ["PSSD", "PSS2SFORM", "PSS2SINFM", *[f"PSS{k}{x}" for k, more in kinds.items() for x in ("", *more)]]
+
+
+def tag_dimension(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The dimension (tag, feature, value) of lines `feature: TAG TAG ...`, for lookup and inflections: the schema of a treebank, kept in a file of
+    its own. `possession: *` stands for possession_tags(). Where a tag has several features, the last line's holds; a value is its tag."""
+    parts = F.split(F.col(column), ":", 2)
+    listed = F.filter(F.split(F.trim(parts[1]), r"\s+"), lambda x: x != "")
+    tags = F.when((F.trim(parts[0]) == "possession") & (F.trim(parts[1]) == "*"), F.array(*map(F.lit, possession_tags()))).otherwise(listed)
+    rows = lines.where(F.size(parts) == 2).select(F.monotonically_increasing_id().alias("at"), F.trim(parts[0]).alias("feature"), F.explode(tags).alias("tag"))
+    return rows.groupBy("tag").agg(F.max_by("feature", "at").alias("feature")).withColumn("value", F.col("tag"))
+
+
 def feature_pivot(rows: DataFrame, features: list[str], keys: list[str], missing: str = "NA") -> DataFrame:
     """Long (keys, pos, feature, value) to one column a feature; of several values the last by pos holds; `missing` elsewhere."""
     wide = rows.groupBy(*keys).pivot("feature", sorted(features)).agg(F.max_by("value", "pos"))

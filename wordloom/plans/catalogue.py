@@ -95,9 +95,14 @@ def lang_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.combinations(word_lang_presence(spark, sf_dir), LANGS)
 
 
-@query("SELECT i AS code, concat_ws('+', CASE WHEN i & 1 > 0 THEN 'de' END, CASE WHEN i & 2 > 0 THEN 'en' END, CASE WHEN i & 4 > 0 THEN 'es' END, CASE WHEN i & 8 > 0 THEN 'fr' END) AS combination FROM range(16) t(i)")
+_LABELS = "(SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS k FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))"
+
+
+@query(f"SELECT i AS code, coalesce(string_agg(lang, '+' ORDER BY k), '') AS combination FROM (SELECT unnest(range(1 << count(*)::INT)) AS i FROM {_LABELS}) LEFT JOIN {_LABELS} ON (i >> k::INT) & 1 = 1 GROUP BY i")
 def all_label_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.all_combinations(spark.range(1), LANGS)
+    """All combinations of the languages that the documents have."""
+    found = read(spark, sf_dir, "documents").where("lang IS NOT NULL").select("lang").distinct()
+    return words.all_combinations(found, sorted(r.lang for r in found.collect()))  # a few labels
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
@@ -359,9 +364,15 @@ def encode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("word", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), F.aggregate(CharTable.attention(F.col("ids")), F.lit(0), lambda a, x: a + x).alias("n"))
 
 
-@query(f"SELECT word, word[1:17] AS decoded FROM {DISTINCT} WHERE regexp_full_match(word, '[!-~¡-ÿ]+')")
+def _decoded_sql() -> str:
+    """A character as it comes back: the unknown mark without an id, a single character where it shares the id."""
+    singles = " ".join(f"WHEN {TABLE.single_base + i} THEN {literal(c)}" for i, c in enumerate(TABLE.singles))
+    return f"CASE {_id_sql()} WHEN {UNKNOWN} THEN {literal(SPECIAL[UNKNOWN])} {singles} ELSE c END"
+
+
+@query(f"SELECT word, array_to_string(list_transform(string_split(word, '')[1:17], lambda c: {_decoded_sql()}), '') AS decoded FROM {DISTINCT} WHERE word <> ''")
 def decode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = distinct_words(spark, sf_dir).where(F.col("word").rlike("^[!-~¡-ÿ]+$"))
+    plain = distinct_words(spark, sf_dir).where("word <> ''")
     return plain.select("word", TABLE.decode_word(TABLE.encode_word(F.col("word")), F.least(F.lit(17), F.char_length("word"))).alias("decoded"))
 
 

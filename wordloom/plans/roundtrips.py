@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,7 +103,9 @@ def noise_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part").select(F.concat_ws("\t", "p_name", F.replace("p_brand", F.lit("#"), F.lit("*")), "p_type").alias("value"))
     writers.write_encoded_lines(rows, coded)
     writers.write_lines(readers.decoded_lines(spark, coded), plain)
-    return readers.string_table(spark, plain, ["word", "obfus1fix", "obfus1var"], header=False)
+    named = folder(spark, "noise-table")
+    writers.write_table(readers.string_table(spark, plain, ["word", "obfus1fix", "obfus1var"], header=False), named)
+    return readers.noise_table(spark, named)
 
 
 _WORDS = "list_filter(string_split(text, ' '), lambda x: x <> '')"
@@ -186,10 +187,13 @@ def encoded_words_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("ids")[0].alias("a"), F.col("ids")[1].alias("b"), F.col("mask")[1].alias("mask"), F.col("labels")[0].alias("label"))
 
 
-@query("SELECT 'name' AS key, 'part' AS value UNION ALL SELECT 'size', '3'")
+@query("SELECT source AS key, CAST(count(*) AS VARCHAR) AS value FROM documents WHERE source IS NOT NULL GROUP BY source")
 def config_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration made of a table's counts, written as JSON and read again."""
     at = folder(spark, "config")
-    writers.write_lines(spark.createDataFrame([(json.dumps({"name": "part", "size": 3}, indent=1),)], "value string").coalesce(1), at)
+    counted = read(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct("source", "n")))  # a row a source
+    writers.write_lines(counted.agg(F.to_json(F.map_from_entries(pairs), {"pretty": "true"}).alias("value")), at)
     return spark.createDataFrame([(k, str(v)) for k, v in readers.config(spark, at).items()], "key string, value string")
 
 
@@ -284,7 +288,7 @@ def common_affixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- texts
 
 
-@query("SELECT doc_id, regexp_replace(text, '[' || chr(1611) || '-' || chr(1618) || chr(1600) || ']', '', 'g') AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '[' || chr(1611) || '-' || chr(1630) || chr(1600) || ']', '', 'g') AS text FROM documents")
 def without_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.drop_marks(F.col("text")).alias("text"))
 

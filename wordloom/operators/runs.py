@@ -37,7 +37,8 @@ def label_runs(df: DataFrame, order: str | list[str], label: str, head: str | No
         before = (r.high,)
         if first or r.changes:
             last = r["__part"]
-    numbered = inner.join(spark.createDataFrame(plan, "__part int, __first boolean, __began long, __from int"), "__part")
+    known = spark.createDataFrame(plan, "__part int, __first boolean, __began long, __from int")
+    numbered = inner.join(known, "__part")
     numbered = numbered.withColumn("first", F.when(F.col("__place") == 1, F.col("__first")).otherwise(F.col("__differs")))
     numbered = numbered.withColumn("run", F.col("__began") + F.sum(F.col("first").cast("long")).over(w))
     keep = [*df.columns, "run", "first"]
@@ -45,6 +46,7 @@ def label_runs(df: DataFrame, order: str | list[str], label: str, head: str | No
         return numbered.select(keep)
     numbered = numbered.withColumn("__own", F.first(head).over(Window.partitionBy("__part", "run").orderBy("__key")))
     open_heads = numbered.where("first").groupBy(F.col("__part").alias("__from")).agg(F.max_by(head, "__key").alias("__carried"))  # of the last run that begins in a range
-    met = numbered.join(open_heads, "__from", "left")
+    carried = known.select("__part", "__from").join(open_heads, "__from").select("__part", "__carried")  # by the range that a run enters
+    met = numbered.join(carried, "__part", "left")
     entered = F.col("__from").isNotNull() & (F.col("run") == F.col("__began"))
     return met.select(*keep, F.when(entered, F.col("__carried")).otherwise(F.col("__own")).alias("run_head"))

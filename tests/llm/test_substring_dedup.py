@@ -1,7 +1,10 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tests.llm.conftest import make
 from wordloom.llm import substring_dedup as module
 from wordloom.llm.substring_dedup import decode, encode, substring_dedup
 
@@ -46,11 +49,39 @@ def test_many_blocks_buckets_and_groups(corpus, monkeypatch):
     assert got(corpus, 4) == brute([(r.doc_id, r.text) for r in corpus.collect()], 4)
 
 
+def test_hashes_that_collide(corpus, monkeypatch):
+    """With 16 values of the hash that deals windows, the check alone keeps them apart."""
+
+    def weak(words, width):
+        return module.rolling(words, width) & np.uint64(15), (module.rolling(words, width, module.CHECK_BASE) >> np.uint64(32)).astype(np.uint32)
+
+    monkeypatch.setattr(module, "both_hashes", weak)
+    monkeypatch.setattr(module, "BLOCK_BYTES", 500)
+    assert got(corpus, 4) == brute([(r.doc_id, r.text) for r in corpus.collect()], 4)
+
+
+def test_rows_without_an_id_spread(spark, monkeypatch):
+    monkeypatch.setattr(module, "GROUP_BYTES", 100)
+    docs = make(spark, [(None, "the same text of some words")] * 40)
+    out = substring_dedup(docs, 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 40
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.doc_id, r.n_removed, r.kept) for r in out.collect()} == {(None, 0, "the same text of some words")}
+
+
+def test_in_order():
+    h, c = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 9, 0, 1, 9], np.uint32)
+    order, starts = module.in_order(h, c)
+    assert (order.tolist(), starts.tolist()) == ([1, 4, 2, 0, 3], [0, 2, 3])
+    assert [x.tolist() for x in module.in_order(h[:0], c[:0])] == [[], []]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 4)), min_size=1), st.lists(st.integers(-(2**63), 2**63 - 1), min_size=5, max_size=5, unique=True))
 def test_coding_round_trip(entries, ids):
-    import numpy as np
-
     entries, ids = sorted(entries), sorted(ids)
     h, d = np.array([x for x, _ in entries], np.uint64), np.array([x for _, x in entries])
     a, b = decode(encode(h, d, np.array(ids, np.int64)))

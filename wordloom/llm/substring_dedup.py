@@ -11,8 +11,9 @@ Windows are judged on the input. Words are runs of anything but space and the co
 words; very long texts are processed whole. An empty table gives an empty result. Rows without a doc_id neither remove nor lose words. Rows of the same doc_id don't remove each other's words (no smaller id), and
 each loses what a smaller id has. Columns other than the named ones are not carried.
 
-A window is known by 64 bits; two different windows among n agree with a probability of about n * n / 2**65 (for 10**9 windows, 3 in a
-hundred).
+A window is known by 96 bits: the hash that deals it, and 32 bits of a second one of another base. Two different windows among n agree with a
+probability of about n * n / 2**97 (for 10**13 windows, one in a thousand). A reply to a document names a window by both mixed to 64 bits, which
+only that document's own windows are compared with.
 """
 
 from __future__ import annotations
@@ -27,15 +28,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, lean, rolling, squeeze, swell, texts, trimmed, window_hashes
+from .common import WordHash, blocks, lean, mix, rolling, squeeze, swell, texts, trimmed
 
 BLOCK_BYTES = 12 << 20
+CHECK_BASE = 0xC2B2AE3D27D4EB4F
 #: Windows a bucket should get, and text bytes a group of documents should get.
 BUCKET_WINDOWS, GROUP_BYTES = 1 << 21, 8 << 20
 PACKED = "bucket long, kind int, payload binary"
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string"
 
 
+def both_hashes(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window: the hash, and the bits that tell apart windows which agree in it."""
+    return rolling(words, width), (rolling(words, width, CHECK_BASE) >> np.uint64(32)).astype(np.uint32)
+
+
+def name(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Windows as a reply names them."""
+    return hashes ^ mix(checks.astype(np.uint64) + np.uint64(1))
+
+
+def in_order(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order in which equal windows are neighbours and keep theirs, starts of different windows in it)"""
+    order = np.argsort(hashes, kind="stable")
+    h, c = hashes[order], checks[order]
+    same = h[1:] == h[:-1]
+    if (same & (c[1:] != c[:-1])).any():  # different windows of one hash
+        order = np.lexsort((checks, hashes))
+        h, c = hashes[order], checks[order]
+        same = h[1:] == h[:-1]
+    return order, np.flatnonzero(np.concatenate(([True], ~same | (c[1:] != c[:-1])))[: len(h)])
+
+
 def encode(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray) -> bytes:
     """(sorted hashes, index of each one's document, ascending document ids) as bytes."""
     parts = [squeeze(np.diff(hashes, prepend=np.uint64(0))), squeeze(docs.astype(np.uint32)), squeeze(np.diff(ids.view(np.uint64), prepend=np.uint64(0)))]
@@ -55,7 +79,7 @@ def group_of(doc_id: int, groups: int) -> int:
 
 
 def replies(hashes: np.ndarray, docs: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
-    """Copies (a window's hash, the document that loses it), packed by group of documents."""
+    """Copies (a window's name, the document that loses it), packed by group of documents."""
     if not len(hashes):
         return
     ids, code = np.unique(docs, return_inverse=True)
@@ -78,23 +102,25 @@ def pack(docs: DataFrame, width: int, buckets: int, groups: int) -> DataFrame:
             order = np.argsort(id_array, kind="stable")
             rows = texts(block.column("text"))
             ids, code = np.unique(id_array[order], return_inverse=True)
-            h, row, _ = window_hashes((rows[i].split() for i in order.tolist()), memo, width)
-            del rows, block
+            parts = [memo.of(rows[i].split()) for i in order.tolist()]
+            row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+            h, check = both_hashes(np.concatenate(parts) if parts else np.empty(0, np.uint64), width)
+            del rows, block, parts
+            inside = row[: len(h)] == row[len(row) - len(h) :]
+            h, check, doc = h[inside], check[inside], code[row[: len(inside)][inside]]
             if not len(h):
                 continue
-            doc = code[row]
-            order = np.argsort(h, kind="stable")  # rows go by ascending id, and so do equal hashes
-            h, doc = h[order], doc[order]
-            first = np.concatenate(([True], h[1:] != h[:-1]))
-            lowest = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-            copy = doc > lowest
-            out = [(g % buckets, 1, struct.pack("<q", g) + b) for g, b in replies(h[copy], ids[doc[copy]], groups)]
-            h, doc = h[first], doc[first]
+            order, first = in_order(h, check)  # rows go by ascending id, and so do equal windows
+            h, check, doc = h[order], check[order], doc[order]
+            copy = doc > np.repeat(doc[first], np.diff(np.append(first, len(h))))
+            out = [(g % buckets, 1, struct.pack("<q", g) + b) for g, b in replies(name(h[copy], check[copy]), ids[doc[copy]], groups)]
+            h, check, doc = h[first], check[first], doc[first]
             to = (h >> shift).astype(np.int64) if shift is not None else np.zeros(len(h), np.int64)
             cuts = np.flatnonzero(np.diff(to)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)], strict=True):
                 own, mine = np.unique(doc[a:b], return_inverse=True)
-                out.append((int(to[a]), 0, encode(h[a:b], mine, ids[own])))
+                checked = squeeze(check[a:b])
+                out.append((int(to[a]), 0, struct.pack("<I", len(checked)) + checked + encode(h[a:b], mine, ids[own])))
             for a in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 256], strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "payload"])
 
@@ -107,18 +133,21 @@ def count(packed: DataFrame, groups: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
         out = [(struct.unpack_from("<q", p)[0], p[8:]) for k, p in zip(kinds, payloads, strict=True) if k == 1]
-        parts = [decode(p) for k, p in zip(kinds, payloads, strict=True) if k == 0]
+        parts = [p for k, p in zip(kinds, payloads, strict=True) if k == 0]
+        del kinds, payloads
         if len(parts) > 1:
-            h, doc = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-            order = np.argsort(h, kind="stable")
-            h, doc = h[order], doc[order]
-            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            sizes = [4 + struct.unpack_from("<I", p)[0] for p in parts]
+            check = np.concatenate([swell(p[4:n], np.uint32) for p, n in zip(parts, sizes, strict=True)])
+            h, doc = (np.concatenate(x) for x in zip(*(decode(p[n:]) for p, n in zip(parts, sizes, strict=True)), strict=True))
+            del parts
+            order, start = in_order(h, check)
             size = np.diff(np.append(start, len(h)))
-            shared = np.repeat(size > 1, size)
-            h, doc, start = h[shared], doc[shared], np.concatenate(([0], np.cumsum(size[size > 1])[:-1])) if shared.any() else start[:0]
+            order = order[np.repeat(size > 1, size)]
+            h, check, doc, size = h[order], check[order], doc[order], size[size > 1]
             if len(h):
-                lowest = np.repeat(np.minimum.reduceat(doc, start), size[size > 1])
-                out += replies(h[doc > lowest], doc[doc > lowest], groups)
+                lowest = np.repeat(np.minimum.reduceat(doc, np.cumsum(size) - size), size)
+                copy = doc > lowest
+                out += replies(name(h[copy], check[copy]), doc[copy], groups)
         return pa.table([pa.array([g for g, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())], ["grp", "payload"])
 
     return packed.groupBy("bucket").applyInArrow(run, "grp long, payload binary")
@@ -141,7 +170,7 @@ def cut(docs: DataFrame, copies: DataFrame, width: int, groups: int) -> DataFram
             spans = np.empty((0, 2), np.int64)
             kept = w
             if d in lost and len(w) >= width:
-                hit = np.isin(rolling(memo.of(w), width), np.concatenate(lost[d]))
+                hit = np.isin(name(*both_hashes(memo.of(w), width)), np.concatenate(lost[d]))
                 edge = np.zeros(len(w) + 1, np.int32)
                 edge[: len(hit)] += hit
                 edge[width : width + len(hit)] -= hit
@@ -154,8 +183,8 @@ def cut(docs: DataFrame, copies: DataFrame, width: int, groups: int) -> DataFram
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.string())
         return pa.table([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "removed", "kept"])
 
-    own = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))  # without an id a row is dealt by its text
-    keyed = docs.withColumn("grp", F.pmod(own, F.lit(groups)))
+    own = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    keyed = docs.withColumn("grp", F.pmod(F.coalesce(own, F.monotonically_increasing_id()), F.lit(groups)))  # any group does for a row without an id
     return keyed.groupBy("grp").cogroup(copies.groupBy("grp")).applyInArrow(run, RESULT)
 
 

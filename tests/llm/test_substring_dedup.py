@@ -50,10 +50,10 @@ def test_many_blocks_buckets_and_groups(corpus, monkeypatch):
 
 
 def test_hashes_that_collide(corpus, monkeypatch):
-    """With 16 values of the hash that deals windows, the check alone keeps them apart."""
+    """With so few values of the hash that deals windows, the check keeps them apart."""
 
     def weak(words, width):
-        return module.rolling(words, width) & np.uint64(15), (module.rolling(words, width, module.CHECK_BASE) >> np.uint64(32)).astype(np.uint32)
+        return module.rolling(words, width) & np.uint64((1 << 16) - 1), (module.rolling(words, width, module.CHECK_BASE) >> np.uint64(48)).astype(np.uint16)
 
     monkeypatch.setattr(module, "both_hashes", weak)
     monkeypatch.setattr(module, "BLOCK_BYTES", 500)
@@ -73,7 +73,7 @@ def test_rows_without_an_id_spread(spark, monkeypatch):
 
 
 def test_in_order():
-    h, c = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 9, 0, 1, 9], np.uint32)
+    h, c = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 9, 0, 1, 9], np.uint16)
     order, starts = module.in_order(h, c)
     assert (order.tolist(), starts.tolist()) == ([1, 4, 2, 0, 3], [0, 2, 3])
     assert [x.tolist() for x in module.in_order(h[:0], c[:0])] == [[], []]

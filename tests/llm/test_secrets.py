@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.conftest import make
-from wordloom.llm.secrets import AFTER, BEFORE, EPSILON, RECALL, RUN, STEP, arrays, base_spans, best, invented, probabilities, scan, secret_scan, train, windows
+from wordloom.llm.secrets import AFTER, BEFORE, EPSILON, RECALL, RUN, STEP, arrays, base_spans, best, invented, learn, measure, only_tested, probabilities, scan, secret_scan, train, windows
 
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 6),
@@ -109,3 +109,18 @@ def test_recall_of_weak_fits():
     assert net.threshold < 0.5
     assert min(net.recall, held.recall) >= RECALL
     assert held.precision > 0.9
+
+
+def test_measured_on_a_part_of_its_own():
+    """What looks like a secret but is labelled as none counts as a false alarm of the documents, though no training sees it."""
+    plain = [windows(f"some words then {k}wording and more words".encode(), 16, 24 + len(str(k)) - 1) for k in range(10, 60)]
+    doubtful = [windows(f"see ghp_a8Dk2LmQ9zXv7TbN4cRw6YpH3sJf{k}GeK here".encode(), 4, 44) for k in range(10, 60)]
+    net = learn([(ws, 0) for ws in plain + doubtful])
+    own = net.measured["generator"]
+    assert own.secrets > 300
+    assert own.recall >= RECALL - 2 * (RECALL * (1 - RECALL) / own.secrets) ** 0.5  # two standard errors of so few
+    assert own.precision > 0.9
+    there = net.measured["documents"]
+    assert there.secrets == 0
+    assert there.false_alarms >= 0.8 * sum(map(only_tested, doubtful)) > 0
+    assert measure(net, []).secrets == 0

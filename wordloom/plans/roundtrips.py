@@ -199,8 +199,8 @@ def config_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'documents.parquet' AS file, count(*) AS rows FROM documents")
 def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by file of a table that is one file."""
-    return words.rows_per_file(read(spark, sf_dir, "documents"))
+    """Rows by file of a table that is one file, or a folder of part files."""
+    return words.rows_per_file(read(spark, sf_dir, "documents"), "documents.parquet")
 
 
 # ---- streams

@@ -2,7 +2,8 @@
 
 Learning follows Kiss and Strunk (2006). A word that stands before a full stop far more often than chance has it, is short, and seldom stands without one, is an
 abbreviation; the measure is a log-likelihood ratio, scaled. A word that follows a sentence's end more often than chance has it begins sentences. All counts are
-Spark aggregates over the whole corpus; the rules, few by nature, are then applied text by text.
+Spark aggregates over the whole corpus; equal tokens are counted first, so that what a token is like is found out once for each different one. The rules, few by
+nature, are then applied text by text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.session import stored
+
 OPENING, CLOSING = "\"'([{«“‘„", "\"')]}»”’"
 #: Scores from which a word is an abbreviation, and begins sentences.
 ABBREVIATION, STARTER = 0.3, 30.0
@@ -23,8 +26,8 @@ MOST_RULES = 1 << 17
 NEARLY_ALWAYS = 0.99
 
 TOKEN = re.compile(r"\S+")
-#: Marks at a token's end, and what may close after them.
-ENDS = re.compile(f"([.!?؟…]+)[{re.escape(CLOSING)}]*$")
+#: Marks at the end of a token that isn't the last, and what may close after them.
+ENDS = re.compile(rf"([.!?؟…]+)[{re.escape(CLOSING)}]*(?=\s)")
 NUMBER = re.compile(r"^[-+]?\d[\d.,]*$")
 ARABIC_QUESTION = re.compile("([^؟]+(?:؟|$)) ?")
 
@@ -44,19 +47,26 @@ def _stopped(bare: Column) -> Column:
     return bare.rlike("[^.]\\.$")
 
 
-def _tokens(texts: DataFrame, text: str) -> Column:
-    return F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+"), lambda x: x != "")
+def _tokens(text: str) -> Column:
+    return F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+")
 
 
 def _xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.ln(x)).otherwise(0.0)
 
 
-def stop_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """word, with_stop, without: how often each kind of word stands before a full stop and not."""
-    words = texts.select(F.explode(_tokens(texts, text)).alias("t")).select(_bare(F.col("t")).alias("b"))
-    kinds = words.select(_kind(F.col("b")).alias("word"), _stopped(F.col("b")).alias("s")).where("word <> ''")
-    return kinds.groupBy("word").agg(F.count_if("s").alias("with_stop"), F.count_if(~F.col("s")).alias("without"))
+def token_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """token and n of all different tokens, computed once."""
+    every = texts.select(F.explode(_tokens(text)).alias("token")).where("token <> ''")
+    return stored(every.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "tokens")
+
+
+def stop_counts(texts: DataFrame, text: str = "text", tokens: DataFrame | None = None) -> DataFrame:
+    """word, with_stop, without: how often each kind of word stands before a full stop and not. tokens: token_counts of the texts, if there are any."""
+    tokens = token_counts(texts, text) if tokens is None else tokens
+    bare = tokens.select(_bare(F.col("token")).alias("b"), "n")
+    kinds = bare.select(_kind(F.col("b")).alias("word"), _stopped(F.col("b")).alias("s"), "n").where("word <> ''")
+    return kinds.groupBy("word").agg(F.sum(F.when(F.col("s"), F.col("n")).otherwise(0)).alias("with_stop"), F.sum(F.when(F.col("s"), 0).otherwise(F.col("n"))).alias("without"))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:
@@ -73,19 +83,26 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
     return rows.select(*counts.columns, score.alias("score"))
 
 
-def starter_scores(texts: DataFrame, abbreviations: DataFrame, text: str = "text") -> DataFrame:
-    """word, at_start, anywhere, score: which words follow the ends of sentences more often than chance has it."""
-    listed = texts.select(F.transform(_tokens(texts, text), _bare).alias("b"))
-    pairs = listed.select(F.explode(F.arrays_zip(F.col("b").alias("x"), F.expr("slice(b, 2, greatest(size(b) - 1, 0))").alias("y"))).alias("p"))
-    pairs = pairs.select(F.col("p.x").alias("x"), F.col("p.y").alias("y")).where("x IS NOT NULL")
-    typed = pairs.select(_kind(F.col("x")).alias("before"), _stopped(F.col("x")).alias("stop"), F.col("x").rlike("[!?؟]$").alias("mark"), _kind(F.col("y")).alias("word"), F.col("y").rlike("^\\p{Lu}\\p{L}*$|^\\p{Lu}\\p{L}*[.,;:!?]$").alias("name"))
-    cells = typed.groupBy("before", "stop", "mark", "word", "name").agg(F.count(F.lit(1)).alias("n"))
+def starter_scores(texts: DataFrame, abbreviations: DataFrame, text: str = "text", tokens: DataFrame | None = None) -> DataFrame:
+    """word, at_start, anywhere, score: which words follow the ends of sentences more often than chance has it. tokens: as in stop_counts."""
+    tokens = token_counts(texts, text) if tokens is None else tokens
     known = abbreviations.select(F.col("word").alias("before")).distinct().withColumn("short", F.lit(True))
-    met = cells.join(known, "before", "left")
-    ends = F.col("mark") | (F.col("stop") & F.col("short").isNull() & (F.col("before") != "##") & (F.char_length("before") > 1))
-    starts = met.where(ends & F.col("name")).groupBy("word").agg(F.sum("n").alias("at_start"))
+
+    def ended(rows: DataFrame, token: str) -> DataFrame:
+        """rows with before, the token's kind, and whether it ends a sentence."""
+        bare = rows.withColumn("b", _bare(F.col(token))).withColumn("before", _kind(F.col("b"))).join(known, "before", "left")
+        stop = _stopped(F.col("b")) & F.col("short").isNull() & (F.col("before") != "##") & (F.char_length("before") > 1)
+        return bare.withColumn("ends", F.col("b").rlike("[!?؟]$") | stop)
+
+    listed = texts.select(F.filter(_tokens(text), lambda x: x != "").alias("t"))
+    pairs = listed.select(F.explode(F.arrays_zip(F.col("t").alias("x"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("y"))).alias("p")).select("p.x", "p.y")
+    # what can't be an end and a name is left out before it is looked at closely
+    likely = pairs.where(F.col("x").rlike(f"[.!?؟][,;:{re.escape(CLOSING)}]*$") & F.col("y").rlike(f"^[{re.escape(OPENING)}]*\\p{{Lu}}"))
+    named = likely.withColumn("name", _bare(F.col("y"))).where(F.col("name").rlike("^\\p{Lu}\\p{L}*$|^\\p{Lu}\\p{L}*[.,;:!?]$"))
+    starts = ended(named, "x").where("ends").groupBy(_kind(F.col("name")).alias("word")).agg(F.count(F.lit(1)).alias("at_start"))
+    met = ended(tokens, "token")
     anywhere = met.groupBy("before").agg(F.sum("n").alias("anywhere")).withColumnRenamed("before", "word")
-    total = met.agg(F.sum("n").alias("all"), F.sum(F.when(ends, F.col("n")).otherwise(0)).alias("ends"))
+    total = met.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("ends"), F.col("n")).otherwise(0)).alias("ends"))
     rows = starts.join(anywhere, "word").where(F.char_length("word") > 1).crossJoin(total)  # one row
     a, b, ab, n = F.col("ends").cast("double"), F.greatest("anywhere", "at_start").cast("double"), F.col("at_start").cast("double"), F.col("all").cast("double")
     cell = [ab, a - ab, b - ab, n - a - b + ab]  # of the two-by-two table
@@ -109,9 +126,10 @@ def learn(texts: DataFrame, text: str = "text", known: list[str] | None = None)
             raise ValueError(f"more than {MOST_RULES} rules")
         return frozenset(r.word for r in rows)
 
-    short = taken(abbreviation_scores(stop_counts(texts, text)), ABBREVIATION) | frozenset(known or [])
+    tokens = token_counts(texts, text)
+    short = taken(abbreviation_scores(stop_counts(texts, text, tokens)), ABBREVIATION) | frozenset(known or [])
     as_table = texts.sparkSession.createDataFrame([(x,) for x in sorted(short)], "word string")
-    return Rules(short, taken(starter_scores(texts, as_table, text), STARTER))
+    return Rules(short, taken(starter_scores(texts, as_table, text, tokens), STARTER))
 
 
 def word_kind(token: str) -> str:
@@ -124,23 +142,34 @@ def word_kind(token: str) -> str:
 
 def cut(text: str, rules: Rules, language: str = "") -> list[str]:
     """The sentences of a text, without the white space between them."""
-    tokens = list(TOKEN.finditer(text))
-    out, start = [], 0
-    for i, token in enumerate(tokens):
-        m = ENDS.search(token.group())
-        if i + 1 < len(tokens):
-            if not m:
-                continue
-            following = tokens[i + 1].group()
-            begins = following.lstrip(OPENING)[:1].isupper() and word_kind(following) in rules.starters
-            marks, kind = m[1], word_kind(token.group())
-            if marks == "." and (kind in rules.abbreviations or kind == "##" or len(kind) == 1 and kind.isalpha()):
-                if not begins:
-                    continue
-            elif set(marks) <= {".", "…"} and marks != "." and not begins:
+    first = TOKEN.search(text)
+    if not first:
+        return []
+    out, start = [], first.start()
+
+    def token(end: int) -> str:
+        at = end
+        while at > start and not text[at - 1].isspace():
+            at -= 1
+        return text[at:end]
+
+    def begins(following: str) -> bool:
+        return following.lstrip(OPENING)[:1].isupper() and word_kind(following) in rules.starters
+
+    for m in ENDS.finditer(text):  # tokens without such marks end nothing
+        following = TOKEN.search(text, m.end())
+        if not following:
+            break
+        marks = m[1]
+        if marks == ".":
+            kind = word_kind(token(m.end()))
+            if (kind in rules.abbreviations or kind == "##" or len(kind) == 1 and kind.isalpha()) and not begins(following.group()):
                 continue
-        out.append(text[tokens[start].start() : token.end()])
-        start = i + 1
+        elif set(marks) <= {".", "…"} and not begins(following.group()):
+            continue
+        out.append(text[start : m.end()])
+        start = following.start()
+    out.append(text[start:].rstrip())
     if language == "arabic":
         out = [x for s in out for x in ARABIC_QUESTION.findall(s)]
     return out

@@ -223,7 +223,8 @@ def wiki_markup_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents, wrapped in nested templates, tables, links, files, notes and quotes, and read back from the mark-up."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     wraps = [("[[Some page|", "]]"), ("'''", "'''"), ("{{box|{{inner|x}}|{{{1|y}}}}}", ""), ("", "<ref>see {{cite|[[z]]}}</ref>"), ("[[File:p.jpg|thumb|A [[q|caption]]]]", "<!-- {{ -->"), ("{|\n| {{t}}\n{|\n|}\n|}", ""), ("[http://example.com/a ", "]"), ("''", "''")]
-    wrapped = F.transform(words, lambda w, i: F.element_at(F.array(*[F.concat(F.lit(a), w, F.lit(b)) for a, b in wraps]), (i % len(wraps) + 1).cast("int")))
+    before, after = (F.array(*[F.lit(w[k]) for w in wraps]) for k in (0, 1))
+    wrapped = F.transform(words, lambda w, i: F.concat(F.get(before, i % len(wraps)), w, F.get(after, i % len(wraps))))
     return read(spark, sf_dir, "documents").select("doc_id", plain_text(F.array_join(wrapped, " ")).alias("text"))
 
 

@@ -13,6 +13,7 @@ from wordloom.functions import text as X
 from wordloom.functions import vectors as V
 from wordloom.functions.charset import PAD, SAMPLE_RANGES, SPECIAL, UNKNOWN, CharTable
 from wordloom.operators import duplicates, metrics, models, morphology, splits, words
+from wordloom.session import lean
 from wordloom.streaming import stateful, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,7 @@ def literal(x: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)  # whole texts in Python
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

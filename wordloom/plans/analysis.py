@@ -125,12 +125,13 @@ def vocab_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE token <> '' GROUP BY ALL"""
 )
 def vocab_udtf_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by language, by the table function that gives a row a word, joined laterally."""
+    """The same by language, by the table function that gives a row a word, joined laterally to the different words of each language."""
     flat_text(spark, sf_dir).createOrReplaceTempView("flat_documents")
     _with_tables(spark, sf_dir)
     return spark.sql(
-        f"""SELECT lang, kind, token, count(*) AS freq FROM (
-            SELECT lang, stack(3, 'prefix', prefix, 'root', root, 'suffix', suffix) AS (kind, token) FROM flat_documents, LATERAL vocab_words(text, {_AFFIXES}, false))
+        f"""SELECT lang, kind, token, sum(n) AS freq FROM (
+            SELECT lang, n, stack(3, 'prefix', prefix, 'root', root, 'suffix', suffix) AS (kind, token)
+            FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, explode(split(text, '[ \t]+')) AS word FROM flat_documents) GROUP BY lang, word), LATERAL vocab_words(word, {_AFFIXES}, false))
         WHERE token <> '' GROUP BY lang, kind, token"""
     )
 

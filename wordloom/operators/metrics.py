@@ -73,8 +73,8 @@ def adjusted_rand(df: DataFrame, truth: str, found: str) -> DataFrame:
     return one.select(F.when(bottom == 0, F.lit(1.0)).otherwise(top / bottom).alias("ari"))
 
 
-#: Rows of a block of silhouette, and rows whose distances are taken at once.
-BLOCK, AT_ONCE = 2048, 256
+#: Rows of a block of silhouette (each row goes to as many tasks as there are blocks, so they are large), and rows and other rows whose distances are taken at once.
+BLOCK, AT_ONCE, OTHERS = 1 << 16, 256, 1024
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def silhouette(df: DataFrame, key: str, vector: str, label: str, block: int = BLOCK) -> DataFrame:
     """Exact mean silhouette with Euclidean distances. Rows are dealt to blocks by their keys (which are unique), and each pair of blocks is one tile: a
     task's matrix products. A tile gives a row one sum for each label of the other block, so nothing quadratic is stored. Rows without a vector or label take no part."""
-    rows = df.select(F.col(key).alias("k"), F.transform(vector, lambda a: a.cast("double")).alias("v"), F.col(label).alias("l")).where("v IS NOT NULL AND l IS NOT NULL")
+    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(label).alias("l")).where("v IS NOT NULL AND l IS NOT NULL")
     n = rows.count()
     busy = math.ceil(2 * math.sqrt(df.sparkSession.sparkContext.defaultParallelism))
     m = max(1, math.ceil(n / block), min(busy, math.ceil(n / AT_ONCE)))
@@ -101,11 +101,14 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str, block: int = BL
     kinds = {c: rows.schema[c].dataType for c in ("k", "l")}
 
     def one_way(a: pa.Table, b: pa.Table, same: bool, schema: pa.Schema) -> pa.Table:
-        x, y = (np.stack(t.column("v").to_numpy(zero_copy_only=False)) for t in (a, b))
+        x, y = (np.stack(t.column("v").to_numpy(zero_copy_only=False)).astype(float) for t in (a, b))
         labels, code = np.unique(b.column("l").to_numpy(zero_copy_only=False), return_inverse=True)
         member = np.zeros((len(y), len(labels)))
         member[np.arange(len(y)), code] = 1
-        sums = np.concatenate([distances(x[at : at + AT_ONCE], y) @ member for at in range(0, len(x), AT_ONCE)])
+        sums = np.zeros((len(x), len(labels)))
+        for at in range(0, len(x), AT_ONCE):
+            for to in range(0, len(y), OTHERS):
+                sums[at : at + AT_ONCE] += distances(x[at : at + AT_ONCE], y[to : to + OTHERS]) @ member[to : to + OTHERS]
         counts = np.broadcast_to(member.sum(axis=0), sums.shape).copy()
         if same:
             counts[np.arange(len(x)), code] -= 1

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.functions import text as X
+from wordloom.session import stored
 
 
 def clusters(pairs: DataFrame, root: str = "root", word: str = "word") -> DataFrame:
@@ -188,8 +189,17 @@ def sentence_lengths(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy(F.size("words").alias("length")).agg(F.count(F.lit(1)).alias("sentences"))
 
 
-def leet_of(word: str) -> Iterator[str]:
-    """The strings of functions.text.leet_variants, each once and one after the other."""
+def spread(words: DataFrame) -> DataFrame:
+    """word, dealt to several tasks a core: a word is short but can have very many spellings, so sizes in bytes say nothing about the work."""
+    return words.repartition(4 * words.sparkSession.sparkContext.defaultParallelism, "word")
+
+
+#: Endings of a word that are made once and put after each beginning.
+ENDINGS = 1 << 12
+
+
+def leet_of(word: str) -> Iterator[list[str]]:
+    """The strings of functions.text.leet_variants, each once, in lists of up to ENDINGS."""
     signs = []  # of each letter with a choice of two: (letter, sign, whether the sign has to occur, as the other one makes the rest)
     for letter, pair in X.LEET.items():
         if len(pair) > 1:
@@ -202,10 +212,18 @@ def leet_of(word: str) -> Iterator[str]:
     for taken in itertools.product(*signs):
         sign = plain | {letter: y for letter, y, _ in taken}
         need = [y for _, y, must in taken if must]
-        parts = [[c, sign[c]] if c in sign else [c] for c in word]
-        for variant in map("".join, itertools.product(*parts)):
-            if variant != word and all(y in variant for y in need):
-                yield variant
+        cut = next(i for i in range(len(word) + 1) if 1 << sum(c in sign for c in word[i:]) <= ENDINGS)
+        heads, tails = (map("".join, itertools.product(*[[c, sign[c]] if c in sign else [c] for c in part])) for part in (word[:cut], word[cut:]))
+        fitting: dict[tuple[str, ...], list[str]] = {(): list(tails)}  # endings with the signs that a beginning lacks
+        for head in heads:
+            lack = tuple(y for y in need if y not in head)
+            if lack not in fitting:
+                fitting[lack] = [x for x in fitting[()] if all(y in x for y in lack)]
+            made = [head + x for x in fitting[lack]]
+            if head == word[:cut] and not lack:
+                made.remove(word)
+            if made:
+                yield made
 
 
 def leet_spellings(words: DataFrame, batch: int = 1 << 14) -> DataFrame:
@@ -220,25 +238,61 @@ def leet_spellings(words: DataFrame, batch: int = 1 << 14) -> DataFrame:
 
         for rows in batches:
             for word, low in zip(rows.column("word").to_pylist(), rows.column("low").to_pylist(), strict=True):
-                variants = leet_of(low)
-                while part := list(itertools.islice(variants, batch - len(made))):
+                for variants in leet_of(low):
                     source.append(word)
-                    times.append(len(part))
-                    made += part
-                    if len(made) == batch:
+                    times.append(len(variants))
+                    made += variants
+                    if len(made) >= batch:
                         yield full()
                         source, times, made = [], [], []
         if made:
             yield full()
 
-    return words.where("word is not null").select("word", F.lower("word").alias("low")).mapInArrow(run, "word string, variant string")
+    return spread(words.where("word is not null").select("word", F.lower("word").alias("low"))).mapInArrow(run, "word string, variant string")
+
+
+#: Variants of a word that one task holds.
+HELD = 1 << 12
+
+
+def closure_of(word: str, rounds: int, most: int = HELD) -> set[str] | None:
+    """All that replacing leads to in fewer rounds, with the word itself; None beyond so many rounds or variants."""
+    found, new = {word}, {word}
+    for _ in range(rounds):
+        new = {x.replace(old, y, 1) for x in new for old, to in X.ARABIZI.items() if old in x for y in to} - found
+        if not new:
+            return found
+        found |= new
+        if len(found) > most:
+            break
+    return None
 
 
 def arabizi_closure(words: DataFrame, rounds: int = 1000) -> DataFrame:
     """word and variant: everything that replacing digraphs again and again leads to, each variant once, without the word itself.
-    New variants are only looked for from those that are new, until there are none; if they don't end within `rounds`, that is an error."""
-    found = words.select("word", F.col("word").alias("variant")).distinct().checkpoint()
-    new = found
+    Where that is little, a task finds it word by word; words with more go through rounds of joins, in which new variants are only looked for from
+    those that are new, until there are none. If they don't end within `rounds`, that is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            word, variant, whole = [], [], []
+            for w in rows.column("word").to_pylist():
+                found = closure_of(w, rounds)
+                made = [w] if found is None else sorted(found - {w})
+                word += [w] * len(made)
+                variant += made
+                whole += [found is not None] * len(made)
+                if len(word) >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(variant, pa.string()), pa.array(whole, pa.bool_())], ["word", "variant", "whole"])
+                    word, variant, whole = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(variant, pa.string()), pa.array(whole, pa.bool_())], ["word", "variant", "whole"])
+
+    tried = stored(spread(words.select("word").where("word IS NOT NULL").distinct()).mapInArrow(run, "word string, variant string, whole boolean"), "variants")
+    done = tried.where("whole").select("word", "variant")
+    found = tried.where("NOT whole").select("word", "variant")
+    if found.isEmpty():
+        return done
+    found = new = found.checkpoint()
     for _ in range(rounds):
         grown = new.select("word", F.explode(X.arabizi_variants(F.col("variant"))).alias("variant")).distinct()
         new = grown.join(found, ["word", "variant"], "left_anti").checkpoint()
@@ -247,4 +301,4 @@ def arabizi_closure(words: DataFrame, rounds: int = 1000) -> DataFrame:
         found = found.union(new)
     else:
         raise RuntimeError(f"variants did not end in {rounds} rounds")
-    return found.where("word <> variant")
+    return done.union(found.where("word <> variant"))

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from tests.llm.conftest import make
-from wordloom.llm.line_dedup import BANDS, common_shingles, distinct_shingles, line_dedup, lines_of, shingle_set, signatures, sketches
+from wordloom.llm.line_dedup import BANDS, PARITY_WORDS, common_shingles, distinct_shingles, line_dedup, lines_of, linked, shingle_set, signatures, sketches
 
 
 def row_key(d, t):
@@ -134,3 +134,37 @@ def test_signatures_and_sketches():
         for b in range(6):
             assert sum(bin(int(x) & (2**64 - 1)).count("1") for x in sketch[a] ^ sketch[b]) <= len(sets[a] ^ sets[b])
             assert (common[6 * a + b], total[6 * a + b]) == (len(sets[a] & sets[b]), len(sets[a]) + len(sets[b]))
+
+
+@pytest.mark.parametrize("few", [8, 60])
+def test_links_of_a_frequent_band(spark, monkeypatch, few):
+    """Near copies that share two bands: the components of all pairs, from no more links than the groups have lines."""
+    monkeypatch.setattr("wordloom.llm.line_dedup.SLICE", 20 if few == 8 else 512)
+    monkeypatch.setattr("wordloom.llm.line_dedup.FEW", few)
+    rng = random.Random(11)
+    base = "".join(rng.choices("abcdefghijklmnop ", k=160))
+    lines = set()
+    while len(lines) < 60:
+        x = list(base)
+        for at in rng.sample(range(len(x)), rng.randint(1, 4)):
+            x[at] = rng.choice("XYZ")
+        lines.add("".join(x).strip())
+    lines = sorted(lines)
+    sets = [shingle_set(x) for x in lines]
+    near = [(a, b) for a in range(60) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    owner, value = distinct_shingles([x.encode() for x in lines])
+    sketch = sketches(owner, value, 60, PARITY_WORDS).reshape(60, -1).tolist()
+    records = spark.createDataFrame([(i, len(s), k, x.encode()) for i, (s, k, x) in enumerate(zip(sets, sketch, lines, strict=True))], "node long, n long, sketch array<long>, text binary")
+    members = spark.createDataFrame([(key, i) for key in (5, -3) for i in range(60)], "key long, node long")
+    found = [(r.u, r.v) for r in linked(members, records, 80, 100).collect()]
+
+    def parts(edges):
+        label = list(range(60))
+        for a, b in edges:
+            label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+        return label
+
+    assert parts(found) == parts(near) and len(set(parts(near))) > 1
+    assert len(found) <= (len(near) if few == 60 else 2 * 60)
+    if few == 8:
+        assert len(near) > 120

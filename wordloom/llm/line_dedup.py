@@ -4,9 +4,10 @@
    once) and folds a one-permutation MinHash signature of its character shingles into bands. Places are dealt to buckets by the line's hash,
    bands by the band's. A band that several lines of a block share goes to its bucket once, however many they are.
 2. ``regroup``: each bucket finds the copies of lines across blocks, and the bands that lines of several blocks share.
-3. Lines that share a band are candidates. Their texts are fetched once; links are verified by the exact Jaccard similarity of the shingle
-   sets (see ``linking``: a frequent band costs a star, not all pairs). With 9 bands of 4 values a pair of similarity 0.8 is found with a
-   probability of 0.99, one of 0.85 with 0.998.
+3. Lines that share a band are candidates. Their texts are fetched once and dealt out by band (``linked``): every pair of a band is held
+   against the exact Jaccard similarity of the shingle sets inside the band's task, and only links that make its components leave the task, no
+   more than it has lines. A frequent band is cut into slices, two of which meet in a group. With 9 bands of 4 values a pair of similarity 0.8 is
+   found with a probability of 0.99, one of 0.85 with 0.998.
 4. Distributed union-find joins links; of each component, the first line by (doc_id, line number, hash of the row) stays and all others go.
 
 Lines are cut at line feeds and compared without white space at their ends. Lines without a word stay and are not counted. A line shorter
@@ -30,8 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, materialise, mix, rolling, settle, squeeze, swell, texts, trimmed
-from .linking import components, may_link
+from .common import blocks, connected_components, lean, materialise, mix, rolling, settle, small_join, squeeze, swell, texts, trimmed
 
 BLOCK_BYTES = 2 << 20
 #: Bytes of text for each bucket of line places and of bands, about.
@@ -44,6 +44,8 @@ PARITY_WORDS = 16
 BROADCAST_LINES = 1 << 19
 #: Elements that a verification sorts at once.
 SORTED = 1 << 20
+#: Lines and bytes of text of a slice of a frequent band, about; lines of a group whose pairs are listed; shingles that are counted at once.
+SLICE, SLICE_BYTES, FEW, COLUMNS = 1 << 9, 4 << 20, 8, 1 << 10
 #: Of a bin without a shingle.
 EMPTY = np.uint32(0xFFFFFFFF)
 SPACES = b" \t\n\x0b\x0c\r"
@@ -330,17 +332,96 @@ def common_shingles(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray,
     return common, total
 
 
-def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of (a, b, ta, tb) whose shingle sets have a Jaccard similarity of num / den at least."""
+def components_of(lines: list[bytes], num: int, den: int) -> np.ndarray:
+    """Of each line, the number of the first line of its component, by all pairs' exact similarities: shingles that several lines have are counted
+    by products of a few columns, so that memory follows the lines, not their pairs' shingles."""
+    owner, value = distinct_shingles(lines)
+    n = np.bincount(owner, minlength=len(lines))
+    order = np.argsort(value, kind="stable")
+    order = order[repeated(value[order])]
+    owner, value = owner[order], value[order]
+    column = np.cumsum(np.diff(value, prepend=value[:1]) != 0)
+    common = np.zeros((len(lines), len(lines)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(lines), COLUMNS), np.float32)
+        has[owner[lo:hi], column[lo:hi] - at] = 1
+        common += has @ has.T
+    near = (den + num) * common >= num * (n[:, None] + n[None, :])
+    np.fill_diagonal(near, True)
+    first = np.arange(len(lines))
+    while True:
+        low = np.where(near, first[None, :], len(lines)).min(axis=1)
+        low = low[low]
+        if (low == first).all():
+            return first
+        first = low
+
+
+def linked(members: DataFrame, records: DataFrame, num: int, den: int) -> DataFrame:
+    """u and v: links that join the same lines as all pairs of one key with a similarity of num / den at least.
+
+    members: key, node. records: node, n, sketch, text. A pair of lines that meets in several small groups is only tried in the first of their keys."""
+    sizes = members.join(records.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("key")
+    slices = sizes.agg(F.least(F.count(F.lit(1)), F.ceil(F.greatest(F.count(F.lit(1)) / SLICE, F.sum("bytes") / SLICE_BYTES))).cast("int").alias("slices")).where("slices > 1")
+    keys = members.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # BANDS at most
+    each = records.join(keys, "node").withColumn("key", F.explode("keys"))
+    cut = small_join(each, materialise(slices, "slices"), "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    # of several slices, each two meet in a group
+    other = F.when(F.col("slices") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("slices") - 1), F.col("own")))
+    dealt = cut.withColumn("own", own).withColumn("other", F.explode(other)).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+    def listed(nodes: np.ndarray, table: pa.Table, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        pairs = []
+        for g in np.unique(size).tolist():
+            i, j = np.triu_indices(g, 1)
+            at = start[size == g]
+            pairs.append(((at[:, None] + i).ravel(), (at[:, None] + j).ravel()))
+        if not pairs:
+            return
+        left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        key, n = (table.column(c).to_numpy() for c in ("key", "n"))
+        sketch = pa.compute.list_flatten(table.column("sketch")).to_numpy().view(np.uint64).reshape(-1, PARITY_WORDS)
+        keys, text = table.column("keys").to_pylist(), table.column("text")
+        for at in range(0, len(left), 4_000):
+            a, b = left[at : at + 4_000], right[at : at + 4_000]
+            total = n[a] + n[b]
+            near = (np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])) & (np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) * (den + num) <= total * (den - num))
+            a, b = a[near], b[near]
+            first = np.fromiter((min(set(keys[x]).intersection(keys[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64, len(a)) == key[a]
+            a, b = a[first], b[first]
+            if len(a):
+                common, total = common_shingles(text.take(a).to_pylist(), text.take(b).to_pylist())
+                near = den * common >= num * (total - common)
+                yield nodes[a[near]], nodes[b[near]]
+
+    def links(table: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = np.diff(np.append(start, table.num_rows))
+        nodes = table.column("node").to_numpy()
+        found = list(listed(nodes, table, start[(size > 1) & (size <= FEW)], size[(size > 1) & (size <= FEW)]))
+        for at, g in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+            first = components_of(table.column("text").slice(at, g).to_pylist(), num, den)
+            own = np.flatnonzero(first != np.arange(g))
+            found.append((nodes[at + own], nodes[at + first[own]]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for i in range(0, batch.num_rows, 4_000):
-                part = batch.slice(i, 4_000)
-                common, total = common_shingles(part.column("ta").to_pylist(), part.column("tb").to_pylist())
-                yield part.select(["a", "b"]).filter(pa.array(den * common >= num * (total - common)))
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            place = np.stack([table.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            start = np.flatnonzero(np.append(True, (place[:, 1:] != place[:, :-1]).any(axis=0))) if table.num_rows else np.zeros(1, np.int64)
+            if start[-1]:
+                yield from links(table.slice(0, start[-1]), start[:-1])
+            held = table.slice(start[-1])  # its last group may go on
+        if held is not None and held.num_rows:
+            yield from links(held, np.zeros(1, np.int64))
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long")
+    dealt = dealt.select("key", "lo", "hi", "node", "n", "keys", "sketch", "text")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -364,19 +445,8 @@ def _gone(source: DataFrame, num: int, den: int) -> DataFrame:
     members = materialise(found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "members")
     wanted = materialise(members.select("node").distinct().join(first, "node").select("node", "first.row", "first.line"), "wanted")
     records = materialise(candidate_lines(source, wanted), "records")
-    members = materialise(members.join(records.select("node", "n"), "node").select("key", "node", "n", F.lit(0).alias("pos")), "members")
-
-    def fits(x: str, y: str) -> str:
-        return f"least({x}.n, {y}.n) * {den} >= {num} * greatest({x}.n, {y}.n)"
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(records.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"), F.col("text").alias(f"t{side}")), side)
-        near = may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), num, den, PARITY_WORDS)
-        return verified(pairs.where(near), num, den)
-
-    linked = components(members, records.select("node", "sketch"), fits, verify, num, den, PARITY_WORDS, between=2)
-    grouped = materialise(linked.join(first, "node"), "linked")
+    joined = connected_components(linked(members, records, num, den))
+    grouped = materialise(joined.join(first, "node"), "linked")
     keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     similar = grouped.join(keepers, "component").where("first <> keeper").select("first.row", "first.line", F.col("node").alias("h"))
     copies = found.where(F.col("kind") == COPY).select(F.col("c").alias("row"), "line", F.col("a").alias("h"))

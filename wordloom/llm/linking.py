@@ -7,8 +7,7 @@ A record belongs to buckets (a shared rare n-gram, an equal band). Two rounds fi
    each record's set (bit i is the parity of the elements that hash to i) is compared inside the join: differing bits never exceed the
    sets' symmetric difference, so the filter loses no pair that links.
 
-Links that stay within one component after round 1 change no component and are not tried. Where asked for, rounds in between try one
-member for each component of a bucket, so that components which link broadly merge before pairs are tried.
+Links that stay within one component after round 1 change no component and are not tried.
 """
 
 from __future__ import annotations
@@ -69,12 +68,12 @@ def screened(pairs: DataFrame, records: DataFrame, num: int, den: int, words: in
     return pairs.where(may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), num, den, words)).select("a", "b")
 
 
-def components(members: DataFrame, records: DataFrame, fits: Callable[[str, str], str], verify: Verify, num: int, den: int, words: int, between: int = 0) -> DataFrame:
+def components(members: DataFrame, records: DataFrame, fits: Callable[[str, str], str], verify: Verify, num: int, den: int, words: int) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     members: key, pos, node, n (one row for each bucket of each record; buckets with one member only waste time).
     records: node, sketch. fits(x, y): SQL condition on two aliased members that a linking pair meets in one bucket at least.
-    verify: from distinct (a, b) to the pairs that link. between: rounds that try one member a component.
+    verify: from distinct (a, b) to the pairs that link.
     """
 
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -84,13 +83,6 @@ def components(members: DataFrame, records: DataFrame, fits: Callable[[str, str]
     star = members.alias("x").join(centre.select("key", "c.*").alias("y"), F.expr(f"x.key = y.key and x.node <> y.node and {fits('x', 'y')}"))
     labels = materialise(connected_components(verify(ordered(star)).select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
-    for k in range(between):
-        one = opened(members, labels).groupBy("key", "component").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "pos", "node", "n")).alias("m"))
-        one = materialise(one.select("key", "component", "m.*"), "members")
-        first = one.groupBy("key").agg(F.min(F.struct("component", "pos", "node", "n")).alias("c")).select("key", "c.*")
-        across = one.alias("x").join(first.alias("y"), F.expr(f"x.key = y.key and x.component <> y.component and {fits('x', 'y')}"))
-        labels = merged(labels, verify(ordered(across)))
-
     rest = materialise(opened(members, labels).join(records.select("node", "sketch"), "node"), "open")
     # a large bucket is cut into slices of SLICE members: each slice of one side meets the whole bucket in a task of its own
     slices = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")).where("slices > 1")

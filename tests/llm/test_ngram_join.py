@@ -76,3 +76,13 @@ def test_components(spark):
     rows = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert dict(rows) == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 150: 150, 200: 150}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars already are written once: no round of joins shows that nothing changes."""
+    written = []
+    monkeypatch.setattr("wordloom.llm.common.materialise", lambda df, label: written.append(label) or df.localCheckpoint())
+    edges = [(5, 1), (1, 6), (7, 1), (9, 8), (3, 3)]
+    rows = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r.node, r.component) for r in rows) == [(1, 1), (5, 1), (6, 1), (7, 1), (8, 8), (9, 8)]
+    assert written == ["edges"]

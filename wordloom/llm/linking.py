@@ -91,4 +91,5 @@ def components(members: DataFrame, records: DataFrame, fits: Callable[[str, str]
     y = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("y")
     near = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), num, den, words)
     across = x.join(y, F.expr(f"x.key = y.key and x.slice = y.slice and x.component < y.component and {fits('x', 'y')}") & near)
-    return merged(labels, verify(ordered(across)))
+    pairs = ordered(across)
+    return labels if pairs.isEmpty() else merged(labels, verify(pairs))
